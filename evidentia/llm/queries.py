@@ -111,7 +111,7 @@ FROM n WINDOW same AS (PARTITION BY t)
     "op9_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS words FROM documents),
 sets AS (SELECT DISTINCT doc_id, g FROM (
-  SELECT doc_id, unnest(list_transform(generate_series(1, len(words) - 3), i -> array_to_string(words[i:i + 3], ' '))) AS g FROM w WHERE len(words) >= 4
+  SELECT doc_id, unnest(list_transform(generate_series(1, len(words) - 3), lambda i: array_to_string(words[i:i + 3], ' '))) AS g FROM w WHERE len(words) >= 4
   UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 3)),
 sized AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
