@@ -33,6 +33,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWER = _powers(0xD1342543DE82EF95, _POWER_N)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Marks that ``Words`` parts from the end of a word, and what must stand before them.
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -69,9 +73,12 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of rows i to j: ``hash`` and byte ``start`` and ``end`` of each, ``first`` word of each row (one more at the end)."""
+    """Words of rows i to j: ``hash`` and byte ``start`` and ``end`` of each, ``first`` word of each row (one more at the end).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    ``part``: a lone mark at a word's end, after an ASCII letter or digit, is a word of its own.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, part: bool = False):
         base = offsets[0]
         raw = data[base : offsets[-1]]
         if lower:
@@ -86,11 +93,16 @@ class Words:
         starts = begins.copy()
         starts[1:] &= ~inner
         starts[firsts] = begins[firsts]
-        self.start = np.flatnonzero(starts)
         stops = begins.copy()
         stops[:-1] &= ~inner
         lasts = edges[1:][edges[1:] > 0] - 1
         stops[lasts] = begins[lasts]
+        if part:
+            mark = np.flatnonzero(_MARK[raw])
+            mark = mark[stops[mark] & ~starts[mark]]
+            mark = mark[_ALNUM[raw[mark - 1]]]
+            starts[mark] = stops[mark - 1] = True
+        self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, edges)
         if len(self.start):

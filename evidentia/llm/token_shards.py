@@ -13,9 +13,11 @@ compression, each written by Spark's own committer as one record of one file: a
 leaves no half shard, and any file system that Spark writes will do. (part, roll) orders the shards as
 the identifiers are ordered.
 
-Encoding splits each text at the six ASCII spaces and looks words up in a bounded per-task table of ids;
-words not in it go to the tokenizers library. The tokenizer must keep nothing of white space and never
-join characters across it; ``splits_at_spaces`` checks that, and other tokenizers get whole texts.
+Encoding splits the texts of a batch at the six ASCII spaces, tells words apart by 64-bit hashes and looks each distinct
+word (less a mark at its end) up in a bounded table of ids that the worker process keeps; words not in it go to the
+tokenizers library.
+The tokenizer must keep nothing of white space, never join characters across it, and part letters and digits from
+marks; ``splits_at_spaces`` checks that, and other tokenizers get whole texts.
 
 Defined results: null text is empty (the end id alone); empty tables give empty results; repeated rows are
 repeated entries, ordered by text; other columns are ignored.
@@ -24,8 +26,11 @@ repeated entries, ordered by text; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import BROADCAST_ROWS, batches_of, only, partitions, stored, work_dir
+from ._text import Words, pieces
 
 MAGIC = b"EVSSTAB1"
 FOOTER = struct.Struct("<QIQIQQIIQ8s")
 BLOCK, SHARD = 64 << 10, 16 << 20
-#: Words whose ids a task remembers; beyond it the table starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers in a generation; some 200 bytes each.
+REMEMBERED = 500_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -193,58 +199,101 @@ def splits_at_spaces(tokenizer) -> bool:
 
 
 class Encoder:
+    """Token ids of texts. Words met lately are remembered in two generations of at most REMEMBERED each."""
+
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.by_word = splits_at_spaces(self.tokenizer)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 65536 else np.dtype("<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
+        d = json.loads(self.tokenizer.to_str())
+        self.lowers = any(s.get("type") == "Lowercase" for s in (d.get("normalizer") or {}).get("normalizers", [d.get("normalizer") or {}]))
+        pre = d.get("pre_tokenizer") or {}
+        #: Whether a word of small ASCII letters goes to the model as it is.
+        self.plain = self.by_word and (d["model"].get("type") == "BPE") and [p.get("type") for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.lowers &= all(t["content"] == t["content"].lower() for t in d.get("added_tokens", []))
+        self.letter = "H" if self.tokenizer.get_vocab_size() < 65536 else "I"
+        self.kind = np.dtype("<u2") if self.letter == "H" else np.dtype("<u4")
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
+            self.old, self.known = self.known, {}
+        known, old, rest, model = self.known, self.old, [], self.tokenizer.model
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif self.plain and w.isalpha() and w.islower():  # of bytes: ASCII letters
+                known[w] = array(self.letter, [t.id for t in model.tokenize(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+                known[w] = array(self.letter, e.ids).tobytes()
+
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        if None in found:
+            before = self.known
+            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            if self.known is not before:  # a new generation has begun
+                self._learn(set(words) - self.known.keys())
+                return list(map(self.known.__getitem__, words))
+            get = self.known.__getitem__
+            found = [get(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = text.split()
-            known = self.known
-            parts = [known.get(w) for w in words]
-            if None in parts:
-                missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
-                self._learn(missing)
-                known = self.known
-                parts = [known.get(w) for w in words]
-                if None in parts:
-                    self._learn(list(set(words)))
-                    parts = [self.known[w] for w in words]
-            out.append(np.frombuffer(b"".join(parts), self.kind))
-        return out
+        data, offsets = b"".join(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+        raw = np.frombuffer(data, np.uint8)
+        found = [Words(raw, offsets[i : j + 1], self.lowers, part=True) for i, j in pieces(offsets)]
+        if not found:
+            return []
+        base = [offsets[i] for i, _ in pieces(offsets)]
+        if self.lowers:
+            data = data.lower()
+        first = np.append(np.concatenate([w.first[:-1] + n for w, n in zip(found, np.cumsum([0, *map(len, found)]), strict=False)]), sum(map(len, found)))
+        start, end = (np.concatenate([getattr(w, k) + b for w, b in zip(found, base, strict=True)]) for k in ("start", "end"))
+        _, at, back = np.unique(np.concatenate([w.hash for w in found]), return_index=True, return_inverse=True)
+        ids = self.ids_of_words([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        flat, place = np.frombuffer(b"".join(ids), self.kind), np.append(0, np.cumsum(size))
+        n = size[back]
+        upto = np.append(0, np.cumsum(n))
+        tokens = flat[np.repeat(place[back] - upto[:-1], n) + np.arange(upto[-1])]
+        return [tokens[upto[a] : upto[b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whatever the number of its tasks; single-threaded, as the tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def _write(path: str, end_id: int | None, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         tail = np.array([] if end_id is None else [end_id], "<u4")
         part, roll, writer = TaskContext.get().partitionId(), 0, None
         done = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], names=["shard"])
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
-            for at in range(0, len(keys), 64):
-                for k, ids in zip(keys[at : at + 64], encoder.encode(texts[at : at + 64]), strict=True):
-                    writer = writer or Writer(part, roll)
-                    ids = np.concatenate([ids, tail])
-                    writer.add(key_of(k), value_of(ids), len(ids))
-                    if writer.size() >= shard_bytes:
-                        yield done(writer)
-                        writer, roll = None, roll + 1
+            for k, ids in zip(keys, encode(texts), strict=True):
+                writer = writer or Writer(part, roll)
+                ids = np.concatenate([ids, tail])
+                writer.add(key_of(k), value_of(ids), len(ids))
+                if writer.size() >= shard_bytes:
+                    yield done(writer)
+                    writer, roll = None, roll + 1
         if writer:
             yield done(writer)
 
