@@ -13,8 +13,9 @@ the most rounds for which every window is sure to have a whole symbol inside its
 1. Anchors: a window's anchor is the symbol with the least hash inside its margins, the leftmost of equals.
    Consecutive windows with one anchor form a block: one row (symbol, hash of all words of the block, document,
    start, windows). Equal windows have equal anchors, at the same place.
-2. Blocks meet by symbol, the shared high-level symbols. A block whose symbol and words also occur in a document
-   with a smaller identifier is covered. A block that is its document's own, although other blocks have its symbol, may still
+2. Blocks meet by their anchor, the shared high-level symbol, together with the words from ``margin`` before to 2 * ``margin``
+   after its start, which lie in every window that has this anchor. A block whose anchor and words also occur in a document
+   with a smaller identifier is covered. A block that is its document's own, although other blocks have its anchor, may still
    share some of its windows.
 3. Only the windows of those blocks are looked at one by one: they meet by a 128-bit hash of their words.
 4. Covered words are removed.
@@ -124,7 +125,9 @@ def blocks(words: Words, window: int, rounds: int, rolling: Rolling) -> tuple[np
     rolling.of(words.hash)
     body = rolling.stretch(begin, begin + count + window - 1)
     body = mix(body + (place - begin).astype(U64) * _A + count.astype(U64) * _B)
-    return name[place], body, row[begin], begin - words.first[row[begin]], count
+    # what every window of the block has around its anchor
+    shared = mix(name[place] * _A + rolling.stretch(place - margin, place + 2 * margin))
+    return shared, body, row[begin], begin - words.first[row[begin]], count
 
 
 def _settled(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
