@@ -2,5 +2,395 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scores, text, units, urls
+from .operators import configure, graph, records, resolve, similarity, thermal
+from .sources import dims
+from .sources.views import table, view, with_views
+
+DOMAIN = "example.com"
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+# --- text, urls, units -------------------------------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    "url_canonicalize",
+    rf"""
+SELECT page_id, 'http' || CASE WHEN starts_with(url, 'https') THEN 's' ELSE '' END || '://' || {_HOST} || CASE WHEN p IN ('', '/') THEN '/' ELSE rtrim(p, '/') END
+  || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(q), '&') END AS url
+FROM (SELECT page_id, url, regexp_replace({_PATH}, '/+', '/', 'g') AS p,
+  list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|source|fbclid|gclid|mc_cid|mc_eid|utm_[a-z]+)=')) AS q FROM pages)""",
+)
+def url_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
+
+
+_PATHS = "CASE page_id % 6 WHEN 0 THEN '/products/a' WHEN 1 THEN '/collections/mattress/' WHEN 2 THEN '/blog/x' WHEN 3 THEN '/cart' WHEN 4 THEN '/catalogue.pdf' ELSE '/collections/chairs-2' END"
+
+
+def _visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with paths like a shop's."""
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.expr(_PATHS)).alias("url"))
+
+
+_VISITED = f"(SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || {_PATHS} AS url FROM pages)"
+_DETAIL = "'/(products?|shop|mattress(es)?)/[^/?#]+'"
+
+
+@query(
+    "url_priority",
+    f"""
+SELECT page_id, CAST(CASE WHEN contains(url, '/cart') OR contains(url, '/collections/chairs') THEN -100 WHEN contains(url, '/blog/') THEN -20
+  ELSE CASE WHEN regexp_matches({_PATH}, {_DETAIL}) THEN 90 WHEN rtrim({_PATH}, '/') = '/collections/mattress' THEN 24 WHEN contains({_PATH}, '/collections/') THEN 4 ELSE 0 END
+    + CASE WHEN ends_with(url, '.pdf') THEN 70 ELSE 0 END + CASE WHEN contains(url, 'catalog') THEN 25 ELSE 0 END END AS INTEGER) AS priority FROM {_VISITED}""",
+)
+def url_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _visited(spark, sf_dir).select("page_id", urls.priority(F.col("url")).cast("int").alias("priority"))
+
+
+@query(
+    "source_kind",
+    rf"""
+SELECT page_id, CASE WHEN o AND ends_with(url, '.pdf') THEN 'official_catalogue' WHEN o AND regexp_matches(url, {_DETAIL}) THEN 'official_product' WHEN o THEN 'official_other' ELSE 'other' END AS kind,
+  o AS official, CASE WHEN o AND (ends_with(url, '.pdf') OR regexp_matches(url, {_DETAIL})) THEN 0.95::DOUBLE WHEN o THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS reliability
+FROM (SELECT *, regexp_replace({_HOST}, '^www\.', '') = '{DOMAIN}' OR ends_with({_HOST}, '.{DOMAIN}') AS o FROM {_VISITED})""",
+)
+def source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _visited(spark, sf_dir).select("page_id", urls.source_kind(F.col("url"), DOMAIN).alias("k")).select("page_id", "k.kind", "k.official", "k.reliability")
+
+
+@query("name_normalize", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' MATTRESS-bed'), '\b(mattress|matress|bed)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM part")
+def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalized_name(F.concat("p_name", F.lit(" MATTRESS-bed"))).alias("name"))
+
+
+@query("text_clean", "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b ]+', ' ', 'g')) AS text FROM documents")
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("text"))
+
+
+@query("stable_ids", "SELECT p_partkey, 'prd_' || substr(sha256(lower(trim(p_brand)) || '|' || lower(trim(p_name)) || '|none'), 1, 16) AS id FROM part")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.stable_id("prd", "p_brand", "p_name", F.lit(None)).alias("id"))
+
+
+_NUM = r"([0-9]+(?:\.[0-9]+)?)"
+
+
+@query(
+    "spec_facts",
+    rf"""
+WITH {with_views("v_spec_text")} SELECT id, round(TRY_CAST(regexp_extract(text, 'thickness: {_NUM} cm', 1) AS DOUBLE) * 10, 2) AS thickness_mm, TRY_CAST(regexp_extract(text, '{_NUM} kg/m3', 1) AS DOUBLE) AS density,
+  TRY_CAST(regexp_extract(text, 'weight: {_NUM} kg', 1) AS DOUBLE) AS weight_kg, TRY_CAST(regexp_extract(text, '{_NUM} years warranty', 1) AS DOUBLE) AS warranty_years,
+  TRY_CAST(replace(regexp_extract(text, 'Rs\. ([0-9]{{2,3}}(?:[,.][0-9]{{2,3}})*(?:\.[0-9]{{1,2}})?)', 1), ',', '') AS DOUBLE) AS price,
+  CASE WHEN contains(text, 'medium soft') THEN 0.4 WHEN contains(text, 'medium firm') THEN 0.65 WHEN contains(text, 'extra firm') THEN 0.95 WHEN contains(text, 'very soft') THEN 0.1 WHEN contains(text, 'very firm') THEN 0.95
+    WHEN contains(text, 'plush') THEN 0.2 WHEN contains(text, 'medium') THEN 0.5 WHEN contains(text, 'soft') THEN 0.25 WHEN contains(text, 'firm') THEN 0.8 END::DOUBLE AS firmness FROM v_spec_text""",
+)
+def spec_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return view(spark, sf_dir, "v_spec_text").select(
+        "id", units.first_thickness_mm(t).alias("thickness_mm"), units.density_kg_m3(t).alias("density"), units.weight_kg(t).alias("weight_kg"),
+        units.warranty_years(t).alias("warranty_years"), units.price(t).alias("price"), units.firmness(t).alias("firmness"),
+    )
+
+
+@query(
+    "variants_from_text",
+    rf"""
+WITH {with_views("v_spec_text")} SELECT id, least(a, b) * 25.4 AS width_mm, greatest(a, b) * 25.4 AS length_mm, c * 25.4 AS thickness_mm FROM (
+SELECT id, CAST(regexp_extract(text, 'Size {_NUM} x', 1) AS DOUBLE) AS a, CAST(regexp_extract(text, 'Size {_NUM} x {_NUM}', 2) AS DOUBLE) AS b, CAST(regexp_extract(text, 'x {_NUM} inches', 1) AS DOUBLE) AS c FROM v_spec_text)""",
+)
+def variants_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = view(spark, sf_dir, "v_spec_text").select("id", F.explode(units.dimensions(F.col("text"))).alias("v"))
+    return found.select("id", "v.*")
+
+
+@query(
+    "material_mentions",
+    f"""
+WITH {with_views("v_spec_text")}, a(alias, material) AS (VALUES {", ".join(f"('{dims.plain(a)}', '{m}')" for a, m in dims.aliases())}),
+t AS (SELECT id, trim(regexp_replace(replace(lower(text), '-', ' '), '\\s+', ' ', 'g')) AS t FROM v_spec_text) SELECT DISTINCT id, material FROM t JOIN a ON contains(t, alias)""",
+)
+def material_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.clean_text(F.regexp_replace(F.lower("text"), "-", " "))
+    by: dict[str, list[str]] = {}
+    for a, m in dims.aliases():
+        by.setdefault(m, []).append(dims.plain(a))
+    found = F.filter(F.array(*(F.when(urls.any_in(F.col("t"), tuple(words)), m) for m, words in by.items())), lambda x: x.isNotNull())
+    return view(spark, sf_dir, "v_spec_text").select("id", t.alias("t")).select("id", F.explode(found).alias("material"))
+
+
+@query("html_titles", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+
+
+@query("html_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"#][^\"]*)\"', 1)) AS href FROM pages")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"#][^"]*)"'), F.lit(1))).alias("href")).distinct()
+
+
+@query(
+    "image_scores",
+    f"""
+WITH {with_views("v_images")}, t AS (SELECT *, lower(url || ' ' || coalesce(alt, '')) AS t FROM v_images) SELECT id, greatest(0, least(1, 0.15::DOUBLE
+ + least(0.58::DOUBLE, 0.10::DOUBLE * ({" + ".join(f"contains(t, '{w}')::INT" for w in scores.LAYER_WORDS)})) - least(0.60::DOUBLE, 0.18::DOUBLE * ({" + ".join(f"contains(t, '{w}')::INT" for w in scores.REJECT_WORDS)}))
+ + CASE WHEN width >= 800 AND height >= 500 THEN 0.15 ELSE 0 END - CASE WHEN width <= 120 OR height <= 120 THEN 0.40 ELSE 0 END
+ + CASE WHEN regexp_matches(t, '\\.(jpg|jpeg|png|webp)$') THEN 0.05 ELSE 0 END)) AS score FROM t""",
+)
+def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_images").select("id", scores.image_score(F.col("url"), F.col("alt"), F.col("width"), F.col("height")).alias("score"))
+
+
+@query(
+    "hash_distance",
+    """
+WITH h AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS h FROM documents)
+SELECT a.doc_id, bit_count(xor(('0x' || substr(a.h, 1, 8))::BIGINT, ('0x' || substr(b.h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.h, 9, 8))::BIGINT, ('0x' || substr(b.h, 9, 8))::BIGINT)) AS distance
+FROM h a JOIN h b ON b.doc_id = a.doc_id + 1""",
+)
+def hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("h"))
+    other = h.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("g"))
+    return h.join(other, "doc_id").select("doc_id", scores.hamming(F.col("h"), F.col("g")).alias("distance"))
+
+
+@query(
+    "token_jaccard",
+    """
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)
+SELECT a.doc_id, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) END AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""",
+)
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", scores.tokens(F.col("text")).alias("t"))
+    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return t.join(other, "doc_id").select("doc_id", scores.jaccard(F.col("t"), F.col("u")).alias("similarity"))
+
+
+# --- records -------------------------------------------------------------------------------------------------------------
+
+
+@query("observation_dedup", f"WITH {with_views('v_observations')} SELECT source, field, value, confidence, ordinal FROM v_observations QUALIFY row_number() OVER (PARTITION BY source, field, value ORDER BY confidence DESC, ordinal) = 1")
+def observation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.keep_best(view(spark, sf_dir, "v_observations"), ["source", "field", "value"], "confidence", "ordinal").select("source", "field", "value", "confidence", "ordinal")
+
+
+@query(
+    "claims_unpivot",
+    f"""
+WITH {with_views("v_products", "v_layers")} SELECT * FROM (
+ SELECT product_id, 'total_thickness_mm' AS field_path, total_mm::DOUBLE AS value_double, NULL::VARCHAR AS value_string FROM v_products UNION ALL SELECT product_id, 'product_weight_kg', weight_kg, NULL FROM v_products
+ UNION ALL SELECT product_id, 'price', price, NULL FROM v_products UNION ALL SELECT product_id, 'firmness', NULL, firmness FROM v_products
+ UNION ALL SELECT product_id, 'layers.' || position || '.thickness_mm', thickness_mm, NULL FROM v_layers UNION ALL SELECT product_id, 'layers.' || position || '.density_kg_m3', density, NULL FROM v_layers)
+WHERE value_double IS NOT NULL OR value_string IS NOT NULL""",
+)
+def claims_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.claims(view(spark, sf_dir, "v_products"), view(spark, sf_dir, "v_layers"))
+
+
+_ROWS = """
+SELECT p.*, coalesce(l.n, 0) AS layer_count, coalesce(l.d, 0) AS densities, coalesce(l.t, 0) AS thicknesses, c.components, coalesce(v.n, 0) AS variant_count,
+  CASE WHEN coalesce(l.n, 0) = 0 THEN 'undisclosed' WHEN l.d = l.n AND l.t = l.n THEN 'complete' ELSE 'partial' END AS construction
+FROM v_products p LEFT JOIN (SELECT product_id, count(*) AS n, count(density) AS d, count(thickness_mm) AS t FROM v_layers GROUP BY product_id) l USING (product_id)
+LEFT JOIN (SELECT product_id, string_agg(material, ' | ' ORDER BY f) AS components FROM (SELECT product_id, material, min(position) AS f FROM v_layers GROUP BY product_id, material) GROUP BY product_id) c USING (product_id)
+LEFT JOIN (SELECT product_id, count(*) AS n FROM v_variants GROUP BY product_id) v USING (product_id)"""
+
+
+def _product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.product_rows(*(view(spark, sf_dir, v) for v in ("v_products", "v_layers", "v_variants")))
+
+
+@query("product_rows", f"WITH {with_views('v_products', 'v_layers', 'v_variants')} {_ROWS}")
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _product_rows(spark, sf_dir)
+
+
+@query(
+    "review_queue",
+    f"""
+WITH {with_views("v_products", "v_layers", "v_variants")}, r AS ({_ROWS}), m AS (SELECT product_id, list_filter([CASE WHEN layer_count = 0 THEN 'layers' END, CASE WHEN densities < layer_count THEN 'densities' END,
+ CASE WHEN thicknesses < layer_count THEN 'thicknesses' END, CASE WHEN weight_kg IS NULL THEN 'weight' END], lambda x: x IS NOT NULL) AS m FROM r)
+SELECT product_id, array_to_string(m, ', ') AS missing, CASE WHEN len(m) >= 3 THEN 'high' WHEN len(m) = 2 THEN 'medium' ELSE 'low' END AS priority FROM m WHERE len(m) > 0""",
+)
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.review_queue(_product_rows(spark, sf_dir))
+
+
+@query(
+    "coverage",
+    f"""
+WITH s AS (SELECT page_id % 7 <> 0 AS fetched, {_HOST} = '{DOMAIN}' OR ends_with({_HOST}, '.{DOMAIN}') AS official FROM pages), c AS (SELECT count(*) AS total, count_if(fetched)::BIGINT AS fetched, count_if(fetched AND official)::BIGINT AS official FROM s)
+SELECT *, least(100, 100 * (0.55::DOUBLE * fetched / total + 0.25::DOUBLE * official / fetched + 0.20::DOUBLE)) AS score FROM c""",
+)
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 7 != 0).alias("fetched"), urls.is_official(F.col("url"), DOMAIN).alias("official"))
+    return records.coverage(pages, 1.0)
+
+
+@query(
+    "job_ledger",
+    f"""
+WITH {with_views("v_jobs")}, b AS (SELECT *, min(CASE WHEN action = 'create' THEN event_id END) OVER (PARTITION BY job) AS born FROM v_jobs), a AS (SELECT *, coalesce(sum(CASE WHEN action IN ('complete', 'fail') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY job ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM b WHERE event_id >= born)
+SELECT job, CASE WHEN bool_or(action = 'complete') THEN 'completed' WHEN bool_or(action = 'fail') THEN 'failed' WHEN bool_or(action IN ('claim', 'progress')) THEN 'running' ELSE 'queued' END AS status,
+ count_if(action = 'claim')::BIGINT AS attempts, count_if(action = 'progress')::BIGINT AS progress, max(ts) AS updated FROM a WHERE (ended = 0 AND action <> 'create') OR event_id = born GROUP BY job""",
+)
+def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.ledger(view(spark, sf_dir, "v_jobs"))
+
+
+@query("frontier_topk", f"SELECT page_id, priority, rank FROM (SELECT page_id, priority, row_number() OVER (PARTITION BY host ORDER BY priority DESC, page_id) AS rank FROM (SELECT v.page_id, p.priority, {_HOST} AS host FROM {_VISITED} v JOIN ({ORACLE['url_priority']}) p USING (page_id))) WHERE priority >= 0 AND rank <= 3")
+def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _visited(spark, sf_dir).select("page_id", urls.priority(F.col("url")).cast("int").alias("priority"), urls.host(F.col("url")).alias("host"))
+    return records.top_per_group(rows, ["host"], [F.desc("priority"), F.asc("page_id")], 3).where("priority >= 0").select("page_id", "priority", "rank")
+
+
+@query("url_antijoin", f"SELECT DISTINCT 'http://' || {_HOST} || '/seen' AS url FROM pages WHERE {_HOST} NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 3 = 0)")
+def url_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    known = pages.where("page_id % 3 = 0").select("host")
+    return pages.join(known, "host", "left_anti").select(F.concat(F.lit("http://"), "host", F.lit("/seen")).alias("url")).distinct()
+
+
+# --- resolution, similarity, graph ---------------------------------------------------------------------------------------
+
+
+@query(
+    "entity_resolution_exact",
+    rf"""
+WITH {with_views("v_products")}, k AS (SELECT product_id, company, trim(regexp_replace(lower(brand), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(regexp_replace(lower(name), '\b(mattress|matress|bed)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS n FROM v_products)
+SELECT product_id, min(product_id) OVER (PARTITION BY company, b, n) AS entity_id FROM k""",
+)
+def entity_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_exact(view(spark, sf_dir, "v_products"))
+
+
+@query("entity_resolution_fuzzy")
+def entity_resolution_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(view(spark, sf_dir, "v_products").withColumn("ordinal", F.col("product_id")))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct brand and name of products: what similarity compares."""
+    return view(spark, sf_dir, "v_products").groupBy("brand", "name").agg(F.min("product_id").alias("id")).select("id", F.concat_ws(" ", "brand", "name").alias("text"))
+
+
+_TFIDF = f"""
+WITH {with_views("v_products", "v_layers")}, e AS (SELECT min(product_id) AS id, brand || ' ' || name AS t FROM v_products GROUP BY brand, name), w AS (SELECT id, regexp_extract_all(lower(t), '\\w\\w+') AS w FROM e),
+f AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT id, term, count(*) AS tf FROM f GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000), r AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM e)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN d USING (term)),
+v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r), s AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS score FROM v a JOIN v b ON a.term = b.term AND a.id <> b.id GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5)"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = similarity.terms(_entries(spark, sf_dir))
+    return similarity.neighbours(weights, weights)
+
+
+@query("tfidf_neighbors", f"{_TFIDF} SELECT id, other, rank, round(score, 6) AS score FROM near")
+def tfidf_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).select("id", "other", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "density_support",
+    f"""{_TFIDF}, k AS (SELECT DISTINCT product_id AS other, material || ':' || CAST(round_even(density, 0) AS INT) AS key FROM v_layers WHERE density IS NOT NULL), g AS (SELECT id, key, sum(score) AS s FROM near JOIN k USING (other) GROUP BY ALL)
+SELECT id, key, round(s / sum(s) OVER (PARTITION BY id), 6) AS share FROM g""",
+)
+def density_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.density_support(_near(spark, sf_dir), view(spark, sf_dir, "v_layers")).select("id", "key", F.round("share", 6).alias("share"))
+
+
+@query("graph_edges", f"WITH {with_views('v_edges')} SELECT DISTINCT 'edg_' || substr(sha256(lower(source) || '|' || lower(relation) || '|' || lower(target)), 1, 16) AS edge_id, source, relation, target FROM v_edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(view(spark, sf_dir, "v_edges"))
+
+
+@query("graph_traverse", f"WITH RECURSIVE {with_views('v_edges')}, r(source, relation, target, depth) AS (SELECT source, relation, target, 0 FROM v_edges WHERE source = 'region:1' UNION SELECT e.source, e.relation, e.target, r.depth + 1 FROM r JOIN v_edges e ON e.source = r.target WHERE r.depth < 2) SELECT source, relation, target, depth FROM r")
+def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.traverse(graph.edges(view(spark, sf_dir, "v_edges")), "region:1", 3).select("source", "relation", "target", "depth")
+
+
+# --- candidate stacks ----------------------------------------------------------------------------------------------------
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, layers, variants = (view(spark, sf_dir, v) for v in ("v_products", "v_layers", "v_variants"))
+    return configure.generate(products, layers, variants, dims.materials(spark))
+
+
+_CONFIG = f"""
+WITH {with_views("v_products", "v_layers", "v_variants")}, m(material, densities, conductivity, heat, firmness, as_named) AS (VALUES {dims.material_values()}),
+g AS (SELECT unnest(generate_series(5, 300, 5))::INT AS t),
+l AS (SELECT l.*, CASE WHEN l.density IS NULL THEN m.densities ELSE [CAST(round_even(l.density, 0) AS INT)] END AS ds, s.densities AS sd, s.conductivity, s.heat, s.firmness AS soft, s.material AS named FROM v_layers l JOIN m USING (material) JOIN m s ON s.material = m.as_named),
+x AS (SELECT p.*, a.ds AS d1, b.ds AS d2, c.ds AS d3, a.thickness_mm AS t1, b.thickness_mm AS t2, c.thickness_mm AS t3, a.sd AS s1, b.sd AS s2, c.sd AS s3, a.soft AS f1, b.soft AS f2, c.soft AS f3, a.named AS m1, b.named AS m2, c.named AS m3,
+  a.conductivity AS k1, b.conductivity AS k2, c.conductivity AS k3, a.heat AS h1, b.heat AS h2, c.heat AS h3 FROM v_products p JOIN l a ON a.product_id = p.product_id AND a.position = 1 JOIN l b ON b.product_id = p.product_id AND b.position = 2 JOIN l c ON c.product_id = p.product_id AND c.position = 3),
+o1 AS (SELECT product_id, t AS a FROM x, g WHERE t1 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t1::INT FROM x WHERE t1 IS NOT NULL),
+o2 AS (SELECT product_id, t AS b FROM x, g WHERE t2 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t2::INT FROM x WHERE t2 IS NOT NULL),
+o3 AS (SELECT product_id, t AS c FROM x, g WHERE t3 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t3::INT FROM x WHERE t3 IS NOT NULL),
+e AS (SELECT product_id, a, b, c FROM x JOIN o1 USING (product_id) JOIN o2 USING (product_id) JOIN o3 USING (product_id) WHERE a + b + c = total_mm),
+er AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY a, b, c) AS sol FROM e QUALIFY sol <= 1000),
+w AS (SELECT product_id, total_mm, [greatest(coalesce(t1, 1), 1), greatest(coalesce(t2, 1), 1), greatest(coalesce(t3, 1), 1)] AS w FROM x WHERE product_id NOT IN (SELECT product_id FROM er)),
+q AS (SELECT product_id, total_mm, i, (total_mm - 3) * w[i] / list_sum(w) AS r FROM w, (SELECT unnest([1, 2, 3]) AS i)),
+z AS (SELECT product_id, i, 1 + floor(r)::INT + CASE WHEN row_number() OVER (PARTITION BY product_id ORDER BY r - floor(r) DESC, i) <= total_mm - sum(1 + floor(r)::INT) OVER (PARTITION BY product_id) THEN 1 ELSE 0 END AS t FROM q),
+sol AS (SELECT product_id, a, b, c, sol FROM er UNION ALL SELECT product_id, max(CASE WHEN i = 1 THEN t END), max(CASE WHEN i = 2 THEN t END), max(CASE WHEN i = 3 THEN t END), 1 FROM z GROUP BY product_id),
+den AS (SELECT x.*, i.i, j.j, k.k, d1[i.i] AS p1, d2[j.j] AS p2, d3[k.k] AS p3 FROM x, (SELECT unnest([1, 2, 3]) AS i) i, (SELECT unnest([1, 2, 3]) AS j) j, (SELECT unnest([1, 2, 3]) AS k) k WHERE i <= len(d1) AND j <= len(d2) AND k <= len(d3)),
+n AS (SELECT den.*, a, b, c, (sol - 1) * len(d1) * len(d2) * len(d3) + ((i - 1) * len(d2) + j - 1) * len(d3) + k AS enumerated, (1520.0::DOUBLE * 1980 / 1e6) * (a / 1000::DOUBLE * p1 + b / 1000::DOUBLE * p2 + c / 1000::DOUBLE * p3) AS kg FROM den JOIN sol USING (product_id)),
+s AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY enumerated) AS place FROM n WHERE enumerated <= 50000 AND (weight_kg IS NULL OR abs(kg - weight_kg) <= greatest(2, weight_kg * 0.25::DOUBLE)) QUALIFY place <= 1000)"""
+
+
+@query("config_generate", f"{_CONFIG} SELECT product_id, place, enumerated, [a, b, c] AS taken, [p1, p2, p3] AS picked, round(kg, 6) AS estimated_kg FROM s")
+def config_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("product_id", "place", "enumerated", "taken", "picked", F.round("estimated_kg", 6).alias("estimated_kg"))
+
+
+_PRIOR = "CASE list_position({s}, {p}) WHEN 1 THEN 0.2 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 ELSE 0.01 END::DOUBLE".format
+_GAUSS = "(-0.5::DOUBLE * power(({o} - {p}) / ({s}), 2) - ln(({s}) * sqrt(2 * pi())))".format
+_FEEL = " ".join(f"WHEN '{n}' THEN {x}" for n, x in units.FIRMNESS)
+_RANKED = f"""{_CONFIG}, sc AS (SELECT *, ln({_PRIOR(s="s1", p="p1")}) + ln({_PRIOR(s="s2", p="p2")}) + ln({_PRIOR(s="s3", p="p3")}) + coalesce({_GAUSS(o="weight_kg", p="kg", s="greatest(1.5::DOUBLE, weight_kg * 0.12::DOUBLE)")}, 0)
+ + {_GAUSS(o=f"(CASE firmness {_FEEL} END)::DOUBLE", p="((f1 * a + f2 * b + f3 * c) / (a + b + c))", s="0.18::DOUBLE")} AS score FROM s),
+po AS (SELECT *, exp(greatest(score - max(score) OVER (PARTITION BY product_id), -700)) AS w FROM sc),
+rk AS (SELECT product_id, place, score, w / sum(w) OVER (PARTITION BY product_id) AS posterior, row_number() OVER (PARTITION BY product_id ORDER BY round(score, 9) DESC, place) AS rank FROM po QUALIFY rank <= 10)"""
+
+
+@query("config_rank", f"{_RANKED} SELECT product_id, rank, place, round(posterior, 6) AS posterior FROM rk")
+def config_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configure.rank(_candidates(spark, sf_dir)).select("product_id", "rank", "place", F.round("posterior", 6).alias("posterior"))
+
+
+@query(
+    "thermal_screen",
+    f"""{_CONFIG}, r AS (SELECT product_id, place, a / 1000::DOUBLE / k1 + b / 1000::DOUBLE / k2 + c / 1000::DOUBLE / k3 AS resistance, a / 1000::DOUBLE * p1 * h1 + b / 1000::DOUBLE * p2 * h2 + c / 1000::DOUBLE * p3 * h3 AS heat FROM s WHERE place <= 3),
+y AS (SELECT *, (1.8::DOUBLE * 37 + 0.18::DOUBLE / resistance * 25) / (1.8::DOUBLE + 0.18::DOUBLE / resistance) AS e, 1 - (1.8::DOUBLE + 0.18::DOUBLE / resistance) * 5 / greatest(100, heat * 0.18::DOUBLE) AS f FROM r)
+SELECT product_id, place, round(resistance, 6) AS resistance, round(heat, 3) AS heat_capacity, round(list_sum(list_transform(generate_series(4140, 4320), lambda i: e + (25 - e) * power(f, i))) / 181, 6) AS final_c,
+ round(list_sum(list_transform(generate_series(0, 4320), lambda i: CASE WHEN e + (25 - e) * power(f, i) BETWEEN 28 AND 32 THEN 1 ELSE 0 END)) * 5 / 60::DOUBLE, 6) AS comfort_minutes, round(greatest(25, e + (25 - e) * power(f, 4320)), 6) AS peak_c FROM y""",
+)
+def thermal_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screens the first three candidates of every product."""
+    out = thermal.screen(_candidates(spark, sf_dir).where("place <= 3"))
+    return out.select("product_id", "place", F.round("resistance", 6).alias("resistance"), F.round("heat_capacity", 3).alias("heat_capacity"), *(F.round(c, 6).alias(c) for c in ("final_c", "comfort_minutes", "peak_c")))
+
+
+@query("thermal_constant_paths", "SELECT p AS prototype, round(list_sum(list_transform(generate_series(20700, 21600), lambda i: e + (25 - e) * power(1 - (1.8::DOUBLE + k) / 960, i))) / 901, 6) AS final_c FROM (SELECT p, k, (1.8::DOUBLE * 37 + k * 25) / (1.8::DOUBLE + k) AS e FROM (VALUES ('P2', 2.8::DOUBLE), ('P4', 2.25::DOUBLE)) v(p, k))")
+def thermal_constant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("P2", 2.8), ("P4", 2.25)], "prototype string, k double")
+    return rows.select("prototype", F.round(thermal.constant_path(F.col("k")), 6).alias("final_c"))
