@@ -28,8 +28,8 @@ MATERIALS = {
 
 
 def aliases() -> list[tuple[str, str]]:
-    """(alias, material), the longest alias first, then as listed; a material's identifier is its last alias."""
-    found = [(a.lower(), m) for m, spec in MATERIALS.items() for a in (*spec[4], m)]
+    """(alias, material), the longest alias first, then as listed; the identifier in words is the first alias."""
+    found = [(a.lower(), m) for m, spec in MATERIALS.items() for a in (m.replace("_", " "), *spec[4])]
     return sorted(found, key=lambda x: -len(x[0]))
 
 
