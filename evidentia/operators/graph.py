@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
+from ..sources.work import cut
 
 
 def edges(*frames: DataFrame) -> DataFrame:
@@ -19,15 +20,18 @@ def edges(*frames: DataFrame) -> DataFrame:
 def traverse(graph: DataFrame, start: str, depth: int, relations: list[str] | None = None) -> DataFrame:
     """Out-edges of every node within ``depth - 1`` steps of ``start``, with the step at which each node was first reached.
 
-    One join per step, nodes seen before being left out; the frontier stays a table.
+    One join per step, nodes seen before being left out; frontier and result stay tables, and each step's plan starts
+    from checkpoints of the one before.
     """
-    allowed = graph if relations is None else graph.where(F.col("relation").isin(relations))
+    allowed = cut(graph if relations is None else graph.where(F.col("relation").isin(relations)))
     spark = graph.sparkSession
     frontier = spark.createDataFrame([(start,)], "node string")
     seen, out = frontier, None
     for step in range(depth):
-        found = allowed.join(F.broadcast(frontier) if step == 0 else frontier, allowed["source"] == frontier["node"]).select("edge_id", "source", "relation", "target", F.lit(step).alias("depth"))
+        found = cut(allowed.join(F.broadcast(frontier) if step == 0 else frontier, allowed["source"] == frontier["node"]).select("edge_id", "source", "relation", "target", F.lit(step).alias("depth")))
         out = found if out is None else out.unionByName(found)
-        frontier = found.select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = cut(found.select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return out
