@@ -48,7 +48,7 @@ MAGIC = b"EVSSTAB1"
 FOOTER = struct.Struct("<QIQIQQIIQ8s")
 BLOCK, SHARD = 64 << 10, 16 << 20
 #: Words whose ids a worker remembers in a generation; some 200 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def key_of(doc_id: int | None) -> bytes:
