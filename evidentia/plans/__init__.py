@@ -1,0 +1,3 @@
+"""Queries over the operators that need more than one table or a longer SQL; importing a module registers its queries."""
+
+from . import documents, ledgers, prototypes, tables  # noqa: F401

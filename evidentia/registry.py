@@ -394,3 +394,6 @@ def thermal_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thermal_constant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("P2", 2.8), ("P4", 2.25)], "prototype string, k double")
     return rows.select("prototype", F.round(thermal.constant_path(F.col("k")), 6).alias("final_c"))
+
+
+from . import plans  # noqa: E402, F401  its modules register their queries

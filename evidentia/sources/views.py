@@ -42,6 +42,22 @@ SELECT event_id AS ordinal, user_id AS source, event_type AS field, CAST(round(v
     "v_images": """
 SELECT page_id AS id, url, CASE page_id % 5 WHEN 0 THEN 'Layer construction diagram' WHEN 1 THEN 'logo icon' WHEN 2 THEN 'hero banner.jpg' WHEN 3 THEN NULL ELSE 'foam cross-section.png' END AS alt,
        CAST(50 + 130 * (page_id % 11) AS INT) AS width, CAST(40 + 90 * (page_id % 13) AS INT) AS height FROM pages""",
+    "v_assets": """
+SELECT CAST(p_partkey % 50 AS BIGINT) AS asset_id, concat(' ', upper(p_name), ' Mattress ') AS name FROM part""",
+    "v_captures": """
+SELECT concat('http://host', CAST(page_id % 97 AS STRING), '.example/', CAST(page_id AS STRING), CASE page_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.xml' ELSE '' END) AS url,
+       CASE m WHEN 0 THEN 'service' WHEN 1 THEN 'reader' ELSE 'local' END AS method, (page_id * 7 + m * 5) % 4 <> 0 AS ok, CAST((page_id * 131 + m * 400) % 2000 AS INT) AS chars
+FROM (SELECT page_id, m FROM (SELECT page_id, 0 AS m FROM pages UNION ALL SELECT page_id, 1 FROM pages UNION ALL SELECT page_id, 2 FROM pages) y) x""",
+    "v_evidence": """
+SELECT l_partkey AS material_id, concat('http://s', CAST(l_suppkey % 5 AS STRING), '.example/', CAST(l_partkey AS STRING)) AS url,
+       CASE l_linenumber % 4 WHEN 0 THEN 'exact_product' WHEN 1 THEN 'product_family' WHEN 2 THEN 'exact_variant' ELSE 'technology' END AS scope,
+       CASE l_suppkey % 4 WHEN 0 THEN 'official_product' WHEN 1 THEN 'teardown' WHEN 2 THEN 'retailer' ELSE 'patent' END AS kind,
+       l_returnflag <> 'N' AS for_identity, l_linestatus = 'F' AS for_density, l_quantity AS quantity FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity < 12""",
+    "v_dossiers": """
+SELECT p_partkey AS material_id, CASE p_size % 4 WHEN 0 THEN 'verified_primary' WHEN 1 THEN 'verified_corroborated' WHEN 2 THEN 'probable' ELSE 'unresolved' END AS identity_status,
+       CASE p_size % 6 WHEN 0 THEN 'A_manufacturer_exact' WHEN 1 THEN 'B_corroborated_exact' WHEN 2 THEN 'C_measured_teardown' WHEN 3 THEN 'D_same_technology' WHEN 4 THEN 'E_generic_category' ELSE 'unknown' END AS density_grade,
+       CASE p_size % 4 WHEN 0 THEN 'verified_exact' WHEN 1 THEN 'corroborated_range' WHEN 2 THEN 'provisional_range' ELSE 'unknown' END AS density_status,
+       CAST(20 + p_size AS DOUBLE) AS low, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(60 - p_size AS DOUBLE) END AS high, CAST(40 AS DOUBLE) AS best FROM part""",
     "v_jobs": """
 SELECT event_id, ts, user_id AS job, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS action FROM events""",
     "v_edges": """
@@ -49,7 +65,7 @@ SELECT concat('region:', CAST(n_regionkey AS STRING)) AS source, 'HAS_NATION' AS
 UNION ALL SELECT concat('nation:', CAST(c_nationkey AS STRING)), 'HAS_CUSTOMER', concat('customer:', CAST(c_custkey AS STRING)) FROM customer
 UNION ALL SELECT concat('customer:', CAST(o_custkey AS STRING)), 'HAS_ORDER', concat('order:', CAST(o_orderkey AS STRING)) FROM orders""",
 }
-_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_edges": "nation customer orders"}
+_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
