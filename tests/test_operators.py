@@ -60,3 +60,22 @@ def test_resolution_is_greedy(spark):
 def test_ledger_keeps_first_ending(spark):
     rows = spark.createDataFrame([(1, 1, "j", "create"), (2, 2, "j", "claim"), (3, 3, "j", "fail"), (4, 4, "j", "complete"), (5, 5, "k", "claim")], "event_id long, ts long, job string, action string")
     assert [(r.job, r.status, r.attempts) for r in records.ledger(rows).collect()] == [("j", "failed", 1)]
+
+
+def test_default_stack_matches_plain_enumeration(spark):
+    """Products without layers get three foams of unknown measures; the mass constraint drops combinations but keeps their numbers."""
+    from itertools import product as cross
+
+    products = spark.createDataFrame([(1, "Firm", 100, None, 1.0), (2, "Firm", 100, 12.0, 1.0)], "product_id long, firmness string, total_mm int, weight_kg double, price double")
+    layers = spark.createDataFrame([], "product_id long, position int, material string, thickness_mm double, density double")
+    variants = spark.createDataFrame([(i, 1, 1520.0, 1980.0) for i in (1, 2)], "product_id long, ordinal int, width_mm double, length_mm double")
+    found: dict[int, list] = {1: [], 2: []}
+    for r in configure.generate(products, layers, variants, dims.materials(spark), normalization="identity").orderBy("product_id", "place").collect():
+        found[r.product_id].append((r.enumerated, tuple(r.taken), tuple(r.picked)))
+    grid = [t for t in dims.GRID if t <= 80]
+    densities = [dims.MATERIALS[m][0] for m in ("quilt_foam", "memory_foam", "hr_foam")]
+    stacks = [t for t in cross(grid, grid, grid) if sum(t) == 100]
+    every = [(n, t, d) for n, (t, d) in enumerate(cross(stacks, cross(*densities)), 1)]
+    kg = lambda t, d: 1.52 * 1.98 * sum(a / 1000 * b for a, b in zip(t, d, strict=True))
+    assert found[1] == every[:1000]
+    assert found[2] == [x for x in every if abs(kg(x[1], x[2]) - 12.0) <= 3.0][:1000]
