@@ -237,15 +237,14 @@ class Encoder:
                 known[w] = array(self.letter, e.ids).tobytes()
 
     def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; those unknown are learned in slices that a generation holds, and kept here whatever is forgotten."""
         found = list(map(self.known.get, words))
-        if None in found:
-            before = self.known
-            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-            if self.known is not before:  # a new generation has begun
-                self._learn(set(words) - self.known.keys())
-                return list(map(self.known.__getitem__, words))
-            get = self.known.__getitem__
-            found = [get(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        new = [i for i, x in enumerate(found) if x is None]
+        for k in range(0, len(new), REMEMBERED):
+            some = new[k : k + REMEMBERED]
+            self._learn({words[i] for i in some})
+            for i in some:
+                found[i] = self.known[words[i]]
         return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -68,6 +68,19 @@ def test_shards(spark, docs, tmp_path):
     assert [r.ids[-1] for r in token_shards.lookup(spark, str(tmp_path / "s"), [4, 99]).collect()] == [1]
 
 
+def test_more_words_than_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    monkeypatch.setattr(token_shards, "REMEMBERED", 4)
+    encoder, plain = token_shards.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.by_word
+    texts = ["a b c d", " ".join(f"word{i} Name{i}, w{chr(97 + i)}" for i in range(9)), "a b word0 word8 new", "a", ""]
+    for batch in (texts, texts[::-1], texts[1:3]):
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in batch])] == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+        assert len(encoder.known) <= 4 and len(encoder.old) <= 4
+
+
 def test_jaccard(docs):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert found[0] == (0, 0) and found[3] == (1, 3) and found[6] == (1, 4) and found[4] == (1, 4)
