@@ -15,17 +15,15 @@ from evidentia.llm import decontaminate, langid, mixture, ngram_join, token_shar
 from evidentia.llm._io import stored
 from evidentia.llm.queries import tokenizer_path
 
-#: Cosine below which a text is no nearer to any language than unrelated vectors are: three standard deviations in 1,024 dimensions.
-LEAST_SCORE = 0.1
 #: Near duplicates: five words to a shingle, Jaccard similarity of 80 % or more.
 SHINGLE, SHARE = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or like no learned language, go; empty tables stay empty, and without any labelled row all go."""
+    """Documents that the operator calls und (without letters) go, and no others, as short clean texts may have any score; empty tables stay empty, and without any labelled row all go."""
     model = langid.train(docs.where(~langid.held_out()))
     judged = langid.predict(docs.withColumn("__copy", F.col("text")), model, "__copy", docs.columns)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,15 @@ def test_stages(spark):
     assert four.columns == names and max(counts.values()) <= 3 and set(counts) <= clean
     five = stages["token_shards"](spark, four, SF)
     assert five.count() == four.count() and five.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_short_clean_documents_stay(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = [(-1, "A.", "en"), (-2, "Avec.", "fr"), (-3, "Lllldoado.", "es"), (-4, "Qx", "en"), (-5, "A.\nAll rights reserved.", "en")]
+    blank = [(-6, " 12 -", "en"), (-7, None, "en"), (-8, "", "en")]
+    rows = docs.union(spark.createDataFrame(short + blank, docs.schema))
+    found = {r.doc_id for r in corpus_pipeline.language(spark, rows, SF).collect()}
+    assert found == {r.doc_id for r in rows.collect() if any(map(str.isalpha, r.text or ""))}
+    assert found >= {-1, -2, -3, -4, -5} and not found & {-6, -7, -8}
