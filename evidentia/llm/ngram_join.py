@@ -213,7 +213,7 @@ def _tiles(share: int):
         tiles, held, at, hot, hub = _Tiles(share), [], None, False, None
 
         def close() -> None:
-            if len(held) > 1 or hot:
+            if len(held) > 1 or held and hot:
                 tiles.first_pass(at[0], at[1], held, hot, hub)
 
         for batch, starts, ends in _groups(batches, 2):

@@ -87,6 +87,20 @@ def test_jaccard(docs):
     assert found[8] == (59, 7) and found[11][1] == 10 and found[None][1] is None
 
 
+@pytest.mark.parametrize("n", [4, 8])
+def test_tile_of_whole_blocks(monkeypatch, n):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    bits = np.full(8, 0x0F0F0F0F, np.uint64).tobytes()
+    size = int(np.bitwise_count(np.frombuffer(bits, np.uint64)).sum())
+    columns = [pa.array([7] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array([True] * n), pa.array(range(n), pa.int64()), pa.array([size] * n, pa.int32()), pa.array([bits] * n, pa.binary())]
+    out = list(ngram_join._tiles(80)(iter([pa.RecordBatch.from_arrays(columns, names=list("abcdef"))])))
+    linked = {i for b in out for k, *ends in zip(*(b.column(j).to_pylist() for j in (0, 1, 2)), strict=True) if k for i in ends}
+    assert linked == set(range(n))
+
+
 def test_secrets(docs):
     r = next(r for r in secrets.secret_report(docs).collect() if r.doc_id == 12)
     assert r.spans == "assign:0:16,access:17:37,hex:38:68" and (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
