@@ -79,3 +79,22 @@ def test_default_stack_matches_plain_enumeration(spark):
     kg = lambda t, d: 1.52 * 1.98 * sum(a / 1000 * b for a, b in zip(t, d, strict=True))
     assert found[1] == every[:1000]
     assert found[2] == [x for x in every if abs(kg(x[1], x[2]) - 12.0) <= 3.0][:1000]
+
+
+def test_stacks_of_any_height_match_plain_enumeration(spark):
+    from itertools import product as cross
+
+    products = spark.createDataFrame([(i, "Firm", 80, None, 1.0) for i in (1, 4, 5)], "product_id long, firmness string, total_mm int, weight_kg double, price double")
+    names = ["quilt_foam", "memory_foam", "hr_foam", "memory_foam", "hr_foam"]
+    layers = spark.createDataFrame([(n, i + 1, names[i], 20.0 if i == 1 else None, None if i in (0, 3) else 30.0 + i) for n in (1, 4, 5) for i in range(n)], "product_id long, position int, material string, thickness_mm double, density double")
+    variants = spark.createDataFrame([(i, 1, 1520.0, 1980.0) for i in (1, 4, 5)], "product_id long, ordinal int, width_mm double, length_mm double")
+    found: dict[int, list] = {1: [], 4: [], 5: []}
+    candidates = configure.generate(products, layers, variants, dims.materials(spark), normalization="identity")
+    for r in candidates.orderBy("product_id", "place").collect():
+        found[r.product_id].append((r.enumerated, tuple(r.taken), tuple(r.picked)))
+    for n in (1, 4, 5):
+        grid = [t for t in dims.GRID if t <= max(10, 80 - 10 * (n - 1))]
+        stacks = [t for t in cross(*[[20] if i == 1 else grid for i in range(n)]) if sum(t) == 80][:1000]
+        densities = [dims.MATERIALS[names[i]][0] if i in (0, 3) else (30 + i,) for i in range(n)]
+        assert found[n] == [(k, t, d) for k, (t, d) in enumerate(cross(stacks, cross(*densities)), 1)][:1000]
+    assert {len(r.taken) for r in configure.rank(candidates).where("product_id = 5").collect()} == {5}
