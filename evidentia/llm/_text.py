@@ -1,7 +1,8 @@
 """Words of whole batches of texts as 64-bit hashes, by NumPy over Arrow's buffers.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. In UTF-8 those six bytes occur only as
-themselves, so splitting bytes splits characters alike.
+themselves, so splitting bytes splits characters alike. A word's hash sums its eight-byte pieces, each mixed with its place before
+it is added, so that no rule of letters and places makes two words equal; words of up to eight bytes differ as sure as their pieces do.
 """
 
 from __future__ import annotations
@@ -15,22 +16,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text handled at a time; the arrays of one piece then stay in the cache. One text is never split.
 PIECE = 1 << 20
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
-_POWER_N = 1 << 12
 _MULT = U64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U64)
-    x = 1
-    for i in range(n):
-        out[i] = x
-        x = x * base & 0xFFFFFFFFFFFFFFFF
-    return out
-
-
-_POWER = _powers(0xD1342543DE82EF95, _POWER_N)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Marks that ``Words`` parts from the end of a word, and what must stand before them.
@@ -51,6 +39,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, bytes beyond the end being zero; a view."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One number for each stretch of bytes; none is empty."""
+    size = end - start
+    pieces_of = (size + 7) >> 3
+    upto = np.cumsum(pieces_of)
+    first = upto - pieces_of
+    k = np.arange(upto[-1]) - np.repeat(first, pieces_of)
+    x = eights(raw)[np.repeat(start, pieces_of) + 8 * k]
+    x[upto - 1] &= _HEAD[size - 8 * (pieces_of - 1)]
+    later = np.flatnonzero(k)
+    x[later] ^= mix(k[later].astype(U64) * _MULT)
+    return mix(np.add.reduceat(mix(x + _MULT), first) + size.astype(U64) * _MULT)
+
+
+def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``start`` on are those from ``other`` on, stretch by stretch."""
+    wide, out, at = eights(raw), np.ones(len(start), bool), np.arange(len(start))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        mask = _HEAD[np.minimum(left, 8)]
+        out[at] &= (wide[start[at] + done] & mask) == (wide[other[at] + done] & mask)
+        at = at[(left > 8) & out[at]]
+        done += 8
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,17 +126,7 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, edges)
-        if len(self.start):
-            gap = np.diff(self.start, append=n)
-            k = np.arange(self.start[0], n) - np.repeat(self.start, gap)
-            v = _BYTE[raw[self.start[0] :]] * _POWER[k & (_POWER_N - 1)]
-            if k.size and k.max() >= _POWER_N:
-                v += (k >> 12).astype(U64) * _MULT
-            v[space[self.start[0] :]] = 0
-            total = np.add.reduceat(v, self.start - self.start[0])
-            self.hash = mix(total + (self.end - self.start).astype(U64) * _MULT)
-        else:
-            self.hash = np.zeros(0, U64)
+        self.hash = hashes(raw, self.start, self.end) if len(self.start) else np.zeros(0, U64)
 
     def __len__(self) -> int:
         return len(self.start)

@@ -16,8 +16,10 @@ shorter document has its whole sequence as its one shingle. Documents link when
 A tile in which many pairs are left (a large group of near copies) first gives only stars around the
 documents with most neighbours, and its rows are set aside; once the verified links have been joined to components, the
 rows set aside give every pair whose ends are still in different components. So a group of k near copies
-costs about k verifications and no link between different components is lost. Tiles above
-``TILE`` rows are handled in chunks first and as pairs of blocks in the second pass: no task holds one.
+costs about k verifications and no link between different components is lost. Tiles above ``TILE`` rows are
+dealt to several tasks by a salt; the first pass handles each part on its own, ties each of its rows to the tile's first row as well, and sets all of them aside.
+The second pass only takes tiles whose rows are still in several components, as pairs of blocks: no task holds a tile.
+With ``keys=None`` a set uses all the hashes that the prefix principle asks for, and nothing is left to chance.
 
 Defined results: null or empty texts have an empty set, link with nothing and are their own component; a row
 with a null identifier links with nothing and has a null component; repeated rows are one class; empty
@@ -44,6 +46,8 @@ TILE = 4096
 BLOCK = 2048
 #: Identifiers that are sent to every executor to pick documents; 16 MB.
 SENT = 1_000_000
+#: Bytes of the first rows of large tiles that are sent to every executor.
+MOST_HEADS = 8 << 20
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -87,7 +91,7 @@ def reaches_up(n: int, share: int) -> bool:
     return n * 100 >= share << (octave(n) + 1)
 
 
-def _signatures(width: int, share: int, keys: int):
+def _signatures(width: int, share: int, keys: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -99,7 +103,8 @@ def _signatures(width: int, share: int, keys: int):
                     if m:
                         low.append(np.bitwise_xor.reduce(mix(s * _C[1])))
                         high.append(np.add.reduce(mix(s + _C[2])))
-                        chosen.append(s[: min(keys, m - -(-share * m // 100) + 1)].view(np.int64))
+                        need = m - -(-share * m // 100) + 1
+                        chosen.append(s[: need if keys is None else min(keys, need)].view(np.int64))
                         bits.append(parity(s, octave(m)))
                         up.append(parity(s, octave(m) + 1) if reaches_up(m, share) else None)
                     else:
@@ -197,11 +202,11 @@ class _Tiles:
         )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch with the starts and ends of runs of equal values in its first ``keys`` columns."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with the starts and ends of runs of equal values in the columns ``keys``, of which it may lack the last."""
     for batch in batches:
         if batch.num_rows:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys if k < batch.num_columns]
             change = np.ones(batch.num_rows, bool)
             change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
             starts = np.flatnonzero(change)
@@ -216,15 +221,17 @@ def _tiles(share: int):
             if len(held) > 1 or held and hot:
                 tiles.first_pass(at[0], at[1], held, hot, hub)
 
-        for batch, starts, ends in _groups(batches, 2):
+        # columns key, band, home, id, n, bits; rows of large tiles have a part and their tile's first row too
+        for batch, starts, ends in _groups(batches, (0, 1, 6)):
             key, band = batch.column(0), batch.column(1)
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if 0 < a and b < batch.num_rows and b - a == 1:
+                part, first = (batch.column(k)[a].as_py() for k in (6, 7)) if batch.num_columns > 6 else (-1, None)
+                if 0 < a and b < batch.num_rows and b - a == 1 and part < 0:
                     continue  # a tile of one
-                here = (key[a].as_py(), band[a].as_py())
+                here = (key[a].as_py(), band[a].as_py(), part)
                 if here != at:
                     close()
-                    held, at, hot, hub = [], here, False, None
+                    held, at, hot, hub = [], here, part >= 0, first and (first["id"], first["n"], first["home"], first["bits"])
                 rows = batch.slice(a, b - a)
                 held += zip(*(rows.column(k).to_pylist() for k in (3, 4, 2, 5)), strict=True)
                 while len(held) >= TILE:
@@ -268,7 +275,7 @@ def _rest(share: int):
             found = sorted(set(found))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-        for batch, starts, ends in _groups(batches, 4):
+        for batch, starts, ends in _groups(batches, (0, 1, 2, 3)):
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 here = tuple(batch.column(k)[a].as_py() for k in range(4))
                 if here != at:
@@ -319,7 +326,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, share: int =
     return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify(share), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, keys: int = KEYS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, keys: int | None = KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     batches_of(spark, 500)
@@ -332,19 +339,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = F.array(row(octaves, True, "bits"), row(f"{octaves} + 1", False, "up"))
     placed = first.select("doc_id", "n", "keys", F.explode(F.filter(both, lambda e: e["bits"].isNotNull())).alias("t"))
     tiles = placed.select(F.explode("keys").alias("key"), "t.band", "t.home", F.col("doc_id").alias("id"), "n", "t.bits")
+    # tiles of more than TILE rows, their first rows, and in how many parts they are dealt
+    large = tiles.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id")).where(F.col("rows") > TILE)
+    large = stored(large.select("key", "band", "id", F.ceil(F.col("rows") / TILE * 2).cast("int").alias("parts")))
+    if large.isEmpty():
+        tiles = tiles.withColumns({"part": F.lit(-1), "head": F.lit(None).cast("struct<id: bigint, n: int, home: boolean, bits: binary>")})
+    else:
+        heads = stored(large.join(tiles, ["key", "band", "id"]).groupBy("key", "band", "parts").agg(F.min_by(F.struct("id", "n", "home", "bits"), ~F.col("home")).alias("head")))
+        sent = heads.agg(F.sum(F.length("head.bits") + 64).alias("s")).first().s <= MOST_HEADS
+        tiles = tiles.join(F.broadcast(heads) if sent else heads, ["key", "band"], "left")
+        tiles = tiles.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).otherwise(-1))
+    tiles = tiles.select("key", "band", "home", "id", "n", "bits", "part", "head")
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     try:
-        found = stored(tiles.repartition(partitions(spark), "key", "band").sortWithinPartitions("key", "band").mapInArrow(_tiles(share), _TILE))
+        found = stored(tiles.repartition(partitions(spark), "key", "band", "part").sortWithinPartitions("key", "band", "part").mapInArrow(_tiles(share), _TILE))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     pairs = stored(found.where("pair").select("a", "b").distinct())
     links = verified(pairs, rows, width, share)
     joined = components(links)
     aside = found.where("not pair").select("key", "band", "home", F.col("a").alias("id"), "n", "bits")
-    if not aside.isEmpty():
-        blocks = aside.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-        known = aside.join(blocks, ["key", "band"]).join(joined, "id", "left").withColumns({"component": F.coalesce("component", "id"), "block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
+    placed = stored(aside.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    open_ = placed.groupBy("key", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).where("least != most").select("key", "band", "blocks")
+    if not open_.isEmpty():
+        known = placed.join(open_, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         spread = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "home", "id", "n", "bits", "component", "block"
         )

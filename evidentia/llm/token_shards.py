@@ -13,7 +13,7 @@ compression, each written by Spark's own committer as one record of one file: a
 leaves no half shard, and any file system that Spark writes will do. (part, roll) orders the shards as
 the identifiers are ordered.
 
-Encoding splits the texts of a batch at the six ASCII spaces, tells words apart by 64-bit hashes and looks each distinct
+Encoding splits the texts of a batch at the six ASCII spaces, groups words by 64-bit hashes, compares those of a group byte by byte and looks each distinct
 word (less a mark at its end) up in a bounded table of ids that the worker process keeps; words not in it go to the
 tokenizers library.
 The tokenizer must keep nothing of white space, never join characters across it, and part letters and digits from
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import BROADCAST_ROWS, batches_of, only, partitions, stored, work_dir
-from ._text import Words, pieces
+from ._text import Words, pieces, same_bytes
 
 MAGIC = b"EVSSTAB1"
 FOOTER = struct.Struct("<QIQIQQIIQ8s")
@@ -261,6 +261,14 @@ class Encoder:
         first = np.append(np.concatenate([w.first[:-1] + n for w, n in zip(found, np.cumsum([0, *map(len, found)]), strict=False)]), sum(map(len, found)))
         start, end = (np.concatenate([getattr(w, k) + b for w, b in zip(found, base, strict=True)]) for k in ("start", "end"))
         _, at, back = np.unique(np.concatenate([w.hash for w in found]), return_index=True, return_inverse=True)
+        # words of one hash are compared byte by byte; what differs from the first of them is looked up on its own
+        size = end - start
+        lettered = np.frombuffer(data, np.uint8)
+        equal = size == size[at][back]
+        equal[equal] = same_bytes(lettered, start[equal], start[at][back][equal], size[equal])
+        odd = np.flatnonzero(~equal)
+        back[odd] = len(at) + np.arange(len(odd))
+        at = np.append(at, odd)
         ids = self.ids_of_words([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
         size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
         flat, place = np.frombuffer(b"".join(ids), self.kind), np.append(0, np.cumsum(size))

@@ -10,11 +10,11 @@ join, from filters whose size follows the list and not the corpus.
 
 The filters of a level are sized so that about as many keys pass wrongly as are listed; the count is checked
 and the level made larger if not, which bounds what the driver gathers and broadcasts. Lists are limited to
-``MOST_RULES``.
+``MOST_RULES``; a rule without a slash fits every path of its host. If so many keys pass a filter that no rate of 128-bit hashes is low enough, an error says so.
 
 Defined results: null urls and urls without ``://`` have empty host and path, match no rule and are judged
 ``allow``; empty tables give no rows; repeated urls are judged alike; other columns are ignored. Of rules
-that fit, the longest (host and path together, then host) wins.
+that fit, the longest (host and path together, then host) wins; of rules that differ in the case of their hosts alone, the last listed is shown.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ from pyspark.sql import functions as F
 from ._io import only
 
 MOST_RULES = 2_000_000
+#: The least rate of false keys that hashes of 128 bits can give.
+LEAST_RATE = 1e-33
 
 
 class Bloom:
     def __init__(self, keys: Iterable[str], rate: float, salt: int):
         keys = list(keys)
-        rate = min(0.5, max(rate, 1e-9))
+        rate = min(0.5, rate)
         self.n = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2))
         self.k = max(1, round(self.n / max(1, len(keys)) * math.log(2))) if keys else 1
-        self.k, self.salt = min(self.k, 30), salt
+        self.salt = salt
         self.bits = np.zeros((self.n + 7) // 8, np.uint8)
         for key in keys:
             for p in self.probes(key):
@@ -71,7 +73,7 @@ class Cascade:
 
 
 def split_rules(rules: Iterable[str]) -> dict[str, str]:
-    """``net/es/`` by host and path, the host in lower case; the path starts at the first slash."""
+    """Rules as listed by their keys: ``net/es/`` by host and path, the host in lower case; the path starts at the first slash, and is empty without one."""
     out = {}
     for r in rules:
         host, slash, path = r.partition("/")
@@ -130,6 +132,8 @@ def build_cascade(hosts_paths: DataFrame, listed: set[str], lengths: list[int],
         if len(wrong) <= most:
             break
         rate /= 1000  # the limit only ends a level that is to be built anew
+        if rate < LEAST_RATE:
+            raise ValueError(f"more than {most} keys pass a filter of rate {rate * 1000}: the corpus has too many keys for 128-bit hashes")
     wrong |= {k for k in others if k in first} - listed
     levels, include, exclude = [first], wrong, listed
     while include:
@@ -144,7 +148,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     named = {k: r for k, r in split_rules(r for _, r in rules).items()}
     lists = {v: {k for k, _ in split_rules(r for w, r in rules if w == v).items()} for v in ("block", "allow")}
     lists["allow"] -= lists["block"]
-    lengths = sorted({len(k.partition("/")[2]) + 1 for k in named if "/" in k})
+    lengths = sorted({len("".join(k.partition("/")[1:])) for k in named})
     url = F.col("url")
     host, path = parts(url)
     rows = only(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"))
@@ -156,7 +160,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
             rule, verdict = [], []
             for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 hit = next(((k, v) for k in candidates(h, p, lengths) for v, c in cascades.items() if k in c), None)
-                rule.append(hit and hit[0])
+                rule.append(hit and named[hit[0]])
                 verdict.append(hit[1] if hit else default)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
