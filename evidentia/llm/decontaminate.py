@@ -10,14 +10,18 @@ their diagonals, free at both ends in the document.
 
 Lengths and edits count UTF-8 bytes of the normalised text; k is lowered where the bound would fall below 1.
 Whole texts are searched, each document on its own, so nothing is shuffled. The items are the query set:
-they go to the executors in blocks of at most ``BLOCK_BYTES``, one pass over the documents per block.
+they go to the executors in blocks of at most ``BLOCK_BYTES``, one pass over the documents per block; the driver holds one block at a time,
+and results of all blocks but the last are written first.
 
-Defined results: null or empty texts, and items of fewer than Q bytes, match nothing; empty tables give no
+Items of fewer than Q bytes are searched as whole words without edits.
+
+Defined results: null or empty texts and items without any word match nothing; empty tables give no
 rows; repeated documents or items give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import batches_of, only
+from ._io import batches_of, only, stored
 from ._text import _SPACE, U64, pieces
 
 Q = 8
 RATE = 0.1
 BLOCK_BYTES = 8 << 20
+#: A byte that goes on with a word.
+PART = rb"[0-9A-Za-z_\x80-\xff]"
 _HASH = U64(0x9E3779B97F4A7C15)
 
 
@@ -66,11 +72,19 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         self.ids, self.bodies = [], []
+        self.short: dict[bytes, list[int]] = {}
         for i, text in items:
             body = np.frombuffer(b" ".join(text.decode().casefold().encode().split()), np.uint8)
-            if len(body) >= Q:
+            if 0 < len(body) < Q:
+                self.short.setdefault(body.tobytes(), []).append(i)
+            elif len(body) >= Q:
                 self.ids.append(i)
                 self.bodies.append(body)
+        of_size: dict[int, list[bytes]] = {}
+        for b in self.short:
+            of_size.setdefault(len(b), []).append(re.escape(b))
+        # one pattern a length, as items of one start may have several; looked ahead, as they may overlap
+        self.patterns = [re.compile(b"(?<!" + PART + b")(?=(" + b"|".join(sorted(x)) + b")(?!" + PART + b"))") for x in of_size.values()]
         m = np.array([len(b) for b in self.bodies], np.int64)
         self.m = m
         self.k = np.minimum((m * rate).astype(np.int64), (m - Q) // Q)
@@ -92,6 +106,13 @@ class Items:
     def slot(self, g: np.ndarray) -> np.ndarray:
         return (g * _HASH) >> U64(64 - self.bits)
 
+    def exact(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item's identifier, start, end) of items too short for q-grams, where they stand as whole words."""
+        for p in self.patterns:
+            for m in p.finditer(text):
+                for i in self.short[m[1]]:
+                    yield i, m.start(1), m.end(1)
+
     def bands(self, text: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, item, band) with enough shared q-grams; band b has the diagonals from b * step on, 2 * step of them."""
         g = grams(text)
@@ -173,10 +194,14 @@ def _search(items: list[tuple[int, bytes]], rate: float):
                 raw, edges = np.frombuffer(b"".join(folded[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]
                 text, at, kept = normalised(raw, edges)
                 found: dict[tuple[int, int], list] = {}
+                if block.short:
+                    for row in range(j - i):
+                        for item, start, end in block.exact(text[at[row] : at[row + 1]].tobytes()):
+                            found.setdefault((row, item), []).append((0, start, end))
                 for row, item, band in block.bands(text, at):
                     hit = block.verify(text[at[row] : at[row + 1]], item, band)
                     if hit:
-                        found.setdefault((row, item), []).append(hit)
+                        found.setdefault((row, block.ids[item]), []).append(hit)
                 for (row, item), hits in sorted(found.items()):
                     taken: list[tuple[int, int, int]] = []
                     for hit in sorted(set(hits)):  # the best first; others only where they do not overlap it
@@ -188,7 +213,7 @@ def _search(items: list[tuple[int, bytes]], rate: float):
                     grown = np.cumsum([len(c.casefold()) for c in texts[i + row]])  # a folded character may be several
                     for cost, start, end in sorted(taken, key=lambda t: t[1]):
                         a, b = (np.searchsorted(grown, points[where[x]], side="right") for x in (start, end - 1))
-                        rows.append((ids[i + row], block.ids[item], int(a), int(b) + 1, cost))
+                        rows.append((ids[i + row], item, int(a), int(b) + 1, cost))
             kinds = [pa.int64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["doc_id", "item_id", "start", "end", "edits"])
 
@@ -199,17 +224,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, start, end, edits: every place (code points of the text, end exclusive) where a document has an item."""
     batches_of(docs.sparkSession, 500)
     rows = only(docs, doc_id=id_col, text=text_col)
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    held = 0
+    schema = "doc_id long, item_id long, start long, end long, edits long"
+    search = lambda block: rows.mapInArrow(_search(block, rate), schema)
+    done, block, held = [], [], 0
     for r in only(benchmark, item=item_col, text=item_text_col).where("text is not null").toLocalIterator():
         body = r.text.encode()
-        if held + len(body) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.item, body))
+        if held + len(body) > BLOCK_BYTES and block:
+            done.append(stored(search(block)))
+            block, held = [], 0
+        block.append((r.item, body))
         held += len(body)
-    schema = "doc_id long, item_id long, start long, end long, edits long"
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(b, rate), schema) for b in blocks])
+    return reduce(DataFrame.unionByName, [*done, search(block)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
