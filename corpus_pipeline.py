@@ -22,7 +22,8 @@ SHINGLE, SHARE = 5, 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator calls und (without letters) go, and no others, as short clean texts may have any score; empty tables stay empty, and without any labelled row all go."""
     model = langid.train(docs.where(~langid.held_out()))
-    judged = langid.predict(docs.withColumn("__copy", F.col("text")), model, "__copy", docs.columns)
+    (copy,) = fresh(docs, "__copy")
+    judged = langid.predict(docs.withColumn(copy, F.col("text")), model, copy, docs.columns)
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
@@ -36,12 +37,25 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows are told apart by their number only."""
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    copies = mixture.mix(keyed, id_col="__key").groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    chosen = keyed.dropDuplicates(["__key"]).join(copies, "__key")
-    return chosen.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it. Rows are told apart by the SHA-256 of all their columns, so equal rows only by their number."""
+    key, copies, n = fresh(docs, "__key", "__copies", "__n")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    taken = mixture.mix(keyed, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    chosen = keyed.dropDuplicates([key]).join(taken, key)
+    return chosen.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
