@@ -17,9 +17,31 @@ from ..sources import dims
 AROUND, MOST, LAYERS = 180, 500, 20
 
 
-def patterns() -> list[tuple[re.Pattern, str]]:
-    """One pattern a name: its words with blanks, underscores or hyphens between, not inside a longer word; the longest name first."""
-    return [(re.compile(r"(?<![a-z0-9])" + r"[\s_-]+".join(map(re.escape, a.split())) + r"(?![a-z0-9])"), m) for a, m in dims.aliases()]
+WORD, GAP = re.compile("[a-z0-9]+"), re.compile(r"[\s_-]+")
+
+
+def by_first_word() -> dict[str, list[tuple[int, tuple[str, ...], str]]]:
+    """Names by their first word: rank (the longest name first), words, material."""
+    out: dict[str, list[tuple[int, tuple[str, ...], str]]] = {}
+    for rank, (alias, material) in enumerate(dims.aliases()):
+        words = tuple(alias.split())
+        out.setdefault(words[0], []).append((rank, words, material))
+    return out
+
+
+def named_in(text: str, names: dict[str, list[tuple[int, tuple[str, ...], str]]]) -> dict[tuple[int, int, str], int]:
+    """(start, stop, material) of every name in a text, with its rank: the text's words are walked once, a name goes on over blanks, underscores and hyphens."""
+    # lower-casing that changes a text's length would shift places, so it is done by character
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    words = [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
+    joined = [GAP.fullmatch(low, a[2], b[1]) is not None for a, b in zip(words, words[1:], strict=False)]
+    found: dict[tuple[int, int, str], int] = {}
+    for i, (word, start, _) in enumerate(words):
+        for rank, want, material in names.get(word, ()):
+            last = i + len(want) - 1
+            if last < len(words) and all(joined[i:last]) and all(words[i + k][0] == w for k, w in enumerate(want)):
+                found.setdefault((start, words[last][2], material), rank)
+    return found
 
 
 def mentions(texts: DataFrame, most: int = MOST) -> DataFrame:
@@ -27,24 +49,19 @@ def mentions(texts: DataFrame, most: int = MOST) -> DataFrame:
 
     Places are code points of the text, end exclusive. The first ``most`` names found, longest names first, as the feature's bound. Null texts have none.
     """
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = patterns()
+        names = by_first_word()
         for batch in batches:
             out = []
             for i, text in zip(batch["id"], batch["text"], strict=True):
-                if not isinstance(text, str):
-                    continue
-                # lower-casing that changes a text's length would shift places, so it is done by character
-                low, seen = "".join(x if len(x := c.lower()) == 1 else c for c in text), set()
-                for pattern, material in known:
-                    for m in pattern.finditer(low):
-                        if len(seen) < most and (m.start(), m.end(), material) not in seen:
-                            seen.add((m.start(), m.end(), material))
-                out += [(i, text[a:b], m, a, b, text[max(0, a - AROUND) : b + AROUND]) for a, b, m in sorted(seen, key=lambda x: (x[0], -x[1], x[2]))]
+                if isinstance(text, str):
+                    ranked = sorted((rank, *place) for place, rank in named_in(text, names).items())[:most]
+                    out += [(i, text[a:b], m, a, b, text[max(0, a - AROUND) : b + AROUND]) for _, a, b, m in sorted(ranked, key=lambda x: (x[1], -x[2], x[3]))]
             yield pd.DataFrame(out, columns=["id", "alias", "material", "start", "stop", "context"])
 
-    return texts.select("id", "text").mapInPandas(run, "id long, alias string, material string, start int, stop int, context string")
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, alias string, material string, start int, stop int, context string")
 
 
 def layers(texts: DataFrame) -> DataFrame:

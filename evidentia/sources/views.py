@@ -52,7 +52,7 @@ FROM (SELECT page_id, m FROM (SELECT page_id, 0 AS m FROM pages UNION ALL SELECT
 SELECT l_partkey AS material_id, concat('http://s', CAST(l_suppkey % 5 AS STRING), '.example/', CAST(l_partkey AS STRING)) AS url,
        CASE l_linenumber % 4 WHEN 0 THEN 'exact_product' WHEN 1 THEN 'product_family' WHEN 2 THEN 'exact_variant' ELSE 'technology' END AS scope,
        CASE l_suppkey % 4 WHEN 0 THEN 'official_product' WHEN 1 THEN 'teardown' WHEN 2 THEN 'retailer' ELSE 'patent' END AS kind,
-       l_returnflag <> 'N' AS for_identity, l_linestatus = 'F' AS for_density, l_quantity AS quantity FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity < 12""",
+       l_returnflag <> 'N' AS for_identity, l_linestatus = 'F' AS for_density, l_quantity AS quantity FROM lineitem""",
     "v_dossiers": """
 SELECT p_partkey AS material_id, CASE p_size % 4 WHEN 0 THEN 'verified_primary' WHEN 1 THEN 'verified_corroborated' WHEN 2 THEN 'probable' ELSE 'unresolved' END AS identity_status,
        CASE p_size % 6 WHEN 0 THEN 'A_manufacturer_exact' WHEN 1 THEN 'B_corroborated_exact' WHEN 2 THEN 'C_measured_teardown' WHEN 3 THEN 'D_same_technology' WHEN 4 THEN 'E_generic_category' ELSE 'unknown' END AS density_grade,
@@ -63,9 +63,10 @@ SELECT event_id, ts, user_id AS job, CASE event_type WHEN 'signup' THEN 'create'
     "v_edges": """
 SELECT concat('region:', CAST(n_regionkey AS STRING)) AS source, 'HAS_NATION' AS relation, concat('nation:', CAST(n_nationkey AS STRING)) AS target FROM nation
 UNION ALL SELECT concat('nation:', CAST(c_nationkey AS STRING)), 'HAS_CUSTOMER', concat('customer:', CAST(c_custkey AS STRING)) FROM customer
-UNION ALL SELECT concat('customer:', CAST(o_custkey AS STRING)), 'HAS_ORDER', concat('order:', CAST(o_orderkey AS STRING)) FROM orders""",
+UNION ALL SELECT concat('customer:', CAST(o_custkey AS STRING)), 'HAS_ORDER', concat('order:', CAST(o_orderkey AS STRING)) FROM orders
+UNION ALL SELECT concat('order:', CAST(l_orderkey AS STRING)), 'USES', concat('part:', CAST(l_partkey AS STRING)) FROM lineitem""",
 }
-_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders"}
+_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
