@@ -12,7 +12,9 @@ Rates become copies by systematic rounding: in the order (source, class of size,
 copies are the steps of the rounded-down running sum of rates, the largest documents first. A bucket of that order holds one class of
 sizes and one salt of a source; running sums start from the sums of the buckets before it, so no task has
 a whole source. As neighbours are alike in size, the words taken differ from T_s by little more than a
-document's size.
+document's size; what is left is repaired: of each class of sizes one document that was rounded down may take one copy
+more and one that was rounded up one less, and in the order of falling size those are moved that bring the source nearer
+to T_s (and once more with each of the ``STARTS`` largest moved whatever it does alone; the nearest outcome counts). A source has some 500 classes at most, so the repair of a source is a short fold, however many documents it has.
 
 Targets: weights share the total of all sizes; no source gets more than CAP times its size, the excess being
 shared by weight among the others until none is above.
@@ -38,6 +40,8 @@ SALTS = 32
 UNIT = 1 << 20
 STEPS = 60
 NEAR = 1e-7
+#: Repairs that are tried as the first of a fold.
+STARTS = 16
 
 
 def size_of(text: F.Column) -> F.Column:
@@ -123,6 +127,36 @@ def tilts(hist: DataFrame, targets: DataFrame, sources: int, cap: int = CAP) ->
     return state.select("source", "source_size", "target", (F.col("tilt") / F.col("mean")).alias("tilt"))
 
 
+def repairs(placed: DataFrame, cap: int = CAP) -> DataFrame:
+    """m_source, m_upto and move (1 or -1) of the documents whose rounding is reversed so that their source comes nearer to its target.
+
+    placed: source, size, target, kind, units, copies, upto; (source, upto) is one document among those with units.
+    """
+    left = placed.groupBy(F.col("source").alias("r_source")).agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+    short = F.col("copies") * UNIT - F.col("units")
+    move = F.when((short < 0) & (F.col("copies") < cap), 1).when((short > 0) & (F.col("copies") > 0), -1)
+    able = placed.where("size > 0 and units > 0").withColumn("move", move).where("move is not null")
+    each = able.groupBy("source", "kind", "move").agg(F.max(F.struct("size", "upto")).alias("at"))
+    lists = each.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("at.size").alias("size"), F.col("at.upto").alias("upto"), "move")), asc=False).alias("moves"))
+    begin = F.struct("left", F.slice("moves", 1, 0).alias("done"))
+
+    def next_of(state: F.Column, x: F.Column) -> F.Column:
+        then = state["left"] - x["size"] * x["move"]
+        nearer = F.abs(then) < F.abs(state["left"])
+        return F.struct(F.when(nearer, then).otherwise(state["left"]).alias("left"), F.when(nearer, F.concat(state["done"], F.array(x))).otherwise(state["done"]).alias("done"))
+
+    # one of the first moves may also be made whether it helps by itself or not: the best of these outcomes is taken
+    def forced(k: F.Column) -> F.Column:
+        m = F.element_at("moves", k)
+        rest = F.filter("moves", lambda x, i: i + 1 != k)
+        return F.aggregate(rest, F.struct((F.col("left") - m["size"] * m["move"]).alias("left"), F.slice("moves", k, 1).alias("done")), next_of)
+
+    tries = F.concat(F.array(F.aggregate("moves", begin, next_of)), F.transform(F.sequence(F.lit(1), F.least(F.lit(STARTS), F.size("moves"))), forced))
+    best = F.array_min(F.transform(tries, lambda t: F.struct(F.abs(t["left"]).alias("off"), t["done"].alias("done"))))
+    folded = lists.join(left, F.col("source").eqNullSafe(F.col("r_source"))).select("source", best["done"].alias("done"))
+    return folded.select(F.col("source").alias("m_source"), F.explode("done").alias("m")).select("m_source", F.col("m.upto").alias("m_upto"), F.col("m.move").alias("move"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row."""
     rows = stored(only(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", size_of(F.col("text")).alias("size")))
@@ -146,5 +180,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, i
     # half a unit of rounding: the first copy falls where the sum passes one half
     half = UNIT // 2
     copies = F.floor((F.col("upto") + half) / UNIT) - F.floor((F.col("upto") - F.col("units") + half) / UNIT)
-    done = placed.withColumn("upto", upto).withColumn("copies", copies.cast("long"))
+    placed = placed.withColumn("upto", upto).withColumn("copies", copies.cast("long"))
+    placed = stored(placed.select("doc_id", "source", "size", "source_size", "target", "kind", "units", "copies", "upto"))
+    moves = stored(repairs(placed, cap))
+    moves = F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves
+    mended = placed.join(moves, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("upto") == F.col("m_upto")) & (F.col("units") > 0), "left")
+    done = mended.withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0)))
     return done.select("doc_id", "source", "size", "source_size", "target", (F.col("units") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
