@@ -11,7 +11,8 @@ AMBIENT, SKIN, AREA, CONTACT = 25.0, 37.0, 0.18, 1.8
 def screen(candidates: DataFrame, seconds: int = 21_600, step: float = 5.0) -> DataFrame:
     """product_id, place, resistance, heat_capacity, final_c (mean of the last 900 s), comfort_minutes (28 to 32 C), peak_c.
 
-    T[n+1] = T[n] + (in - out) * step / C is linear, so T[n] = T* + (T0 - T*) a^n; window sums of a geometric series need no loop.
+    T[n+1] = T[n] + (in - out) * step / C is linear, so T[n] = T* + (T0 - T*) a^n; window sums of a geometric series
+    and the samples of a rising path between two bounds need no loop.
     """
     zipped = F.arrays_zip("stack", "taken", "picked")
     total = lambda f: F.aggregate(zipped, F.lit(0.0), lambda a, x: a + f(x))
@@ -24,7 +25,18 @@ def screen(candidates: DataFrame, seconds: int = 21_600, step: float = 5.0) -> D
     first = n - window + 1
     mean = F.col("end") + gap * F.pow("a", F.lit(first)) * (1.0 - F.pow("a", F.lit(window))) / (1.0 - F.col("a")) / window
     at = lambda k: F.col("end") + gap * F.pow("a", k)
-    inside = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0), lambda s, k: s + F.when(at(k).between(28.0, 32.0), 1).otherwise(0))
+
+    def below(x: float, also_equal: bool) -> Column:
+        """Samples under x (or at it) of a rising path: by logarithm, and exact as its neighbours are looked at."""
+        holds = (lambda k: at(k) <= x) if also_equal else (lambda k: at(k) < x)
+        guess = F.ceil(F.log((x - F.col("end")) / gap) / F.log("a")).cast("long")
+        k = F.greatest(F.lit(0), F.least(F.lit(n + 1), guess))
+        k = k + F.when((k <= n) & holds(k), 1).when((k > 0) & ~holds(k - 1), -1).otherwise(0)
+        return F.when(F.col("end") < x, n + 1).otherwise(k)
+
+    stepped = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0), lambda s, k: s + F.when(at(k).between(28.0, 32.0), 1).otherwise(0))
+    # a factor below 0 (next to no resistance) swings: only then samples are counted one by one
+    inside = F.when((F.col("a") > 0) & (F.col("end") > AMBIENT), below(32.0, True) - below(28.0, False)).otherwise(stepped)
     return rows.select("product_id", "place", "resistance", "heat_capacity", mean.alias("final_c"), (inside * step / 60.0).alias("comfort_minutes"), F.greatest(F.lit(AMBIENT), at(F.lit(n))).alias("peak_c"))
 
 

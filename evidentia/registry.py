@@ -334,14 +334,14 @@ def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products, layers, variants = (view(spark, sf_dir, v) for v in ("v_products", "v_layers", "v_variants"))
+    products, layers, variants = (view(spark, sf_dir, v) for v in ("v_products", "v_stacks", "v_variants"))
     return configure.generate(products, layers, variants, dims.materials(spark))
 
 
 _CONFIG = f"""
-WITH {with_views("v_products", "v_layers", "v_variants")}, m(material, densities, conductivity, heat, firmness, as_named) AS (VALUES {dims.material_values()}),
+WITH {with_views("v_products", "v_stacks", "v_variants")}, m(material, densities, conductivity, heat, firmness, as_named) AS (VALUES {dims.material_values()}),
 g AS (SELECT unnest(generate_series(5, 300, 5))::INT AS t),
-l AS (SELECT l.*, CASE WHEN l.density IS NULL THEN m.densities ELSE [CAST(round_even(l.density, 0) AS INT)] END AS ds, s.densities AS sd, s.conductivity, s.heat, s.firmness AS soft, s.material AS named FROM v_layers l JOIN m USING (material) JOIN m s ON s.material = m.as_named),
+l AS (SELECT l.*, CASE WHEN l.density IS NULL THEN m.densities ELSE [CAST(round_even(l.density, 0) AS INT)] END AS ds, s.densities AS sd, s.conductivity, s.heat, s.firmness AS soft, s.material AS named FROM v_stacks l JOIN m USING (material) JOIN m s ON s.material = m.as_named),
 x AS (SELECT p.*, a.ds AS d1, b.ds AS d2, c.ds AS d3, a.thickness_mm AS t1, b.thickness_mm AS t2, c.thickness_mm AS t3, a.sd AS s1, b.sd AS s2, c.sd AS s3, a.soft AS f1, b.soft AS f2, c.soft AS f3, a.named AS m1, b.named AS m2, c.named AS m3,
   a.conductivity AS k1, b.conductivity AS k2, c.conductivity AS k3, a.heat AS h1, b.heat AS h2, c.heat AS h3 FROM v_products p JOIN l a ON a.product_id = p.product_id AND a.position = 1 JOIN l b ON b.product_id = p.product_id AND b.position = 2 JOIN l c ON c.product_id = p.product_id AND c.position = 3),
 o1 AS (SELECT product_id, t AS a FROM x, g WHERE t1 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t1::INT FROM x WHERE t1 IS NOT NULL),
@@ -379,14 +379,14 @@ def config_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "thermal_screen",
-    f"""{_CONFIG}, r AS (SELECT product_id, place, a / 1000::DOUBLE / k1 + b / 1000::DOUBLE / k2 + c / 1000::DOUBLE / k3 AS resistance, a / 1000::DOUBLE * p1 * h1 + b / 1000::DOUBLE * p2 * h2 + c / 1000::DOUBLE * p3 * h3 AS heat FROM s WHERE place <= 3),
+    f"""{_CONFIG}, r AS (SELECT product_id, place, a / 1000::DOUBLE / k1 + b / 1000::DOUBLE / k2 + c / 1000::DOUBLE / k3 AS resistance, a / 1000::DOUBLE * p1 * h1 + b / 1000::DOUBLE * p2 * h2 + c / 1000::DOUBLE * p3 * h3 AS heat FROM s),
 y AS (SELECT *, (1.8::DOUBLE * 37 + 0.18::DOUBLE / resistance * 25) / (1.8::DOUBLE + 0.18::DOUBLE / resistance) AS e, 1 - (1.8::DOUBLE + 0.18::DOUBLE / resistance) * 5 / greatest(100, heat * 0.18::DOUBLE) AS f FROM r)
 SELECT product_id, place, round(resistance, 6) AS resistance, round(heat, 3) AS heat_capacity, round(list_sum(list_transform(generate_series(4140, 4320), lambda i: e + (25 - e) * power(f, i))) / 181, 6) AS final_c,
  round(list_sum(list_transform(generate_series(0, 4320), lambda i: CASE WHEN e + (25 - e) * power(f, i) BETWEEN 28 AND 32 THEN 1 ELSE 0 END)) * 5 / 60::DOUBLE, 6) AS comfort_minutes, round(greatest(25, e + (25 - e) * power(f, 4320)), 6) AS peak_c FROM y""",
 )
 def thermal_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screens the first three candidates of every product."""
-    out = thermal.screen(_candidates(spark, sf_dir).where("place <= 3"))
+    """Screens every candidate of every product."""
+    out = thermal.screen(_candidates(spark, sf_dir))
     return out.select("product_id", "place", F.round("resistance", 6).alias("resistance"), F.round("heat_capacity", 3).alias("heat_capacity"), *(F.round(c, 6).alias(c) for c in ("final_c", "comfort_minutes", "peak_c")))
 
 

@@ -26,8 +26,8 @@ FROM part""",
 SELECT product_id, position, {case_of("material_no", tuple(MATERIALS))} AS material,
        CASE WHEN l_linestatus = 'O' THEN NULL ELSE {_D("5 * (1 + CAST(l_quantity AS INT) % 20)")} END AS thickness_mm,
        CASE WHEN l_returnflag = 'R' THEN NULL ELSE {_D("20 + 5 * (CAST(l_quantity AS INT) % 17)")} END AS density
-FROM (SELECT l_partkey AS product_id, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS INT) AS position,
-             CAST(l_suppkey % 14 AS INT) AS material_no, l_quantity, l_linestatus, l_returnflag FROM lineitem) x WHERE position <= 3""",
+FROM (SELECT l_partkey AS product_id, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_linestatus, l_returnflag) AS INT) AS position,
+             CAST(l_suppkey % 14 AS INT) AS material_no, l_quantity, l_linestatus, l_returnflag FROM lineitem) x""",
     "v_variants": """
 SELECT product_id, ordinal, CASE ordinal WHEN 1 THEN 1520.0E0 ELSE 1830.0E0 END AS width_mm, 1980.0E0 AS length_mm FROM (
   SELECT p_partkey AS product_id, 1 AS ordinal FROM part UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size % 2 = 0) x""",
@@ -66,7 +66,9 @@ UNION ALL SELECT concat('nation:', CAST(c_nationkey AS STRING)), 'HAS_CUSTOMER',
 UNION ALL SELECT concat('customer:', CAST(o_custkey AS STRING)), 'HAS_ORDER', concat('order:', CAST(o_orderkey AS STRING)) FROM orders
 UNION ALL SELECT concat('order:', CAST(l_orderkey AS STRING)), 'USES', concat('part:', CAST(l_partkey AS STRING)) FROM lineitem""",
 }
-_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
+#: The stacks whose candidates are enumerated have three layers.
+VIEWS["v_stacks"] = f"SELECT * FROM ({VIEWS['v_layers']}) y WHERE position <= 3"
+_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_stacks": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,24 @@ def test_stacks_of_any_height_match_plain_enumeration(spark):
         densities = [dims.MATERIALS[names[i]][0] if i in (0, 3) else (30 + i,) for i in range(n)]
         assert found[n] == [(k, t, d) for k, (t, d) in enumerate(cross(stacks, cross(*densities)), 1)][:1000]
     assert {len(r.taken) for r in configure.rank(candidates).where("product_id = 5").collect()} == {5}
+
+
+def test_screen_counts_as_steps_do(spark):
+    """Closed forms against the recurrence itself, also where next to no resistance makes the path swing."""
+    from evidentia.operators import thermal
+
+    rng = random.Random(5)
+    stacks = [[(rng.choice((5, 40, 150)), rng.randint(8, 260), rng.choice((0.038, 0.12, 0.2)), rng.choice((500.0, 1400.0))) for _ in range(rng.randint(1, 4))] for _ in range(40)] + [[(1, 10, 0.2, 500.0)], [(10, 10, 50.0, 500.0)]]
+    rows = [(i, 1, [dict(conductivity=k, heat=h) for _, _, k, h in s], [x[0] for x in s], [x[1] for x in s]) for i, s in enumerate(stacks)]
+    got = thermal.screen(spark.createDataFrame(rows, "product_id int, place int, stack array<struct<conductivity double, heat double>>, taken array<int>, picked array<int>")).collect()
+    assert len(got) == len(stacks)
+    for r in got:
+        room = 0.18 / sum(t / 1000 / k for t, _, k, _ in stacks[r.product_id])
+        heat = max(100.0, 0.18 * sum(t / 1000 * d * h for t, d, _, h in stacks[r.product_id]))
+        now, path = 25.0, [25.0]
+        for _ in range(4320):
+            now += (1.8 * (37 - now) - room * (now - 25)) * 5 / heat
+            path.append(now)
+        if abs(now) < 1e6:
+            assert abs(r.comfort_minutes * 12 - sum(28 <= x <= 32 for x in path)) < 1e-6
+            assert abs(r.final_c - sum(path[-181:]) / 181) < 1e-6
