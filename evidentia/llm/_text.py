@@ -96,17 +96,17 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of rows i to j: ``hash`` and byte ``start`` and ``end`` of each, ``first`` word of each row (one more at the end).
 
-    ``part``: a lone mark at a word's end, after an ASCII letter or digit, is a word of its own.
+    ``part``: a lone mark at a word's end, after an ASCII letter or digit, is a word of its own. ``apart``: the bytes that part words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, part: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, part: bool = False, apart: np.ndarray = _SPACE):
         base = offsets[0]
         raw = data[base : offsets[-1]]
         if lower:
             raw = _LOWER[raw]
         self.raw = raw
         edges = offsets - base
-        space = _SPACE[raw]
+        space = apart[raw]
         n = len(raw)
         begins = ~space
         inner = begins[1:] & begins[:-1]
@@ -132,10 +132,10 @@ class Words:
         return len(self.start)
 
 
-def texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def texts(column: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     data, offsets = buffers(column)
     for i, j in pieces(offsets):
-        yield i, j, Words(data, offsets[i : j + 1], lower)
+        yield i, j, Words(data, offsets[i : j + 1], lower, apart=apart)
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, mixture, ngram_join, secrets, substring_dedup, token_shards, url_filter
+from . import code_compression, decontaminate, exact_dedup, langid, lexical_search, line_dedup, mixture, ngram_join, quality, secrets, substring_dedup, token_shards, url_filter
 
 #: The rules of op2_url_filter, as (verdict, rule).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -64,6 +64,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(_documents(spark, sf_dir))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1,
     "op2_url_filter": op2,
@@ -75,12 +87,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_line_dedup": op10,
+    "op11_lexical_search": op11,
+    "op12_code_compression": op12,
+    "op13_quality_rules": op13,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _compression_sql() -> str:
+    """The four rounds, one after the other."""
+    last = code_compression.ROUNDS
+    steps = [r"""
+kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+         FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+b0 AS (SELECT p, r - 1 AS e, x AS y FROM cut WHERE r <= 256)"""]
+    for k in range(last + 1):
+        steps.append(f"""
+d{k} AS (SELECT c.r, c.p, b.e, list_sum(list_transform(list_zip(c.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut c JOIN b{k} b USING (p)),
+a{k} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'e': e}}) AS m FROM d{k} GROUP BY r, p)""")
+        if k < last:
+            steps.append(f"""
+s{k} AS (SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS y FROM
+  (SELECT c.p, a.m.e AS e, unnest(c.x) AS x, unnest(generate_series(1, len(c.x))) AS i FROM cut c JOIN a{k} a USING (r, p)) GROUP BY p, e, i),
+n{k} AS (SELECT p, e, list(y ORDER BY i) AS y FROM s{k} GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.y, b.y) AS y FROM b{k} b LEFT JOIN n{k} n USING (p, e))""")
+    steps.append(f"""
+book AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last}),
+coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), book""")
+    return "WITH " + ",".join(steps)
+
+
 ORACLE: dict[str, str] = {
+    "op11_lexical_search": rf"""
+WITH it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS ts FROM documents),
+total AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+tf AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(total.n) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * total.n) // total.l)))) AS BIGINT) AS score
+           FROM it JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+""",
+    "op12_code_compression": _compression_sql(),
     "op2_url_filter": r"""
 WITH rules(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
 cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
