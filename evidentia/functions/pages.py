@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .text import clean_text
 from .urls import any_in, is_detail, is_non_product, path
@@ -98,39 +92,6 @@ def meta(page: Column, *names: str) -> Column:
     return F.get(F.filter(F.transform(fit, lambda t: clean_text(whole(t, "content"))), lambda v: v != ""), F.lit(0))
 
 
-def objects_of(value: Any) -> Iterator[dict]:
-    """Every object within a JSON value, an object before what it holds; a stack of its own, so that no depth is too great."""
-    stack = [value]
-    while stack:
-        now = stack.pop()
-        if isinstance(now, dict):
-            yield now
-        if isinstance(now, dict | list):
-            stack.extend(reversed(list(now.values()) if isinstance(now, dict) else now))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def json_objects(bodies: pd.Series) -> pd.Series:
-    """Every object of an array of JSON texts, as JSON; texts that are not JSON give none."""
-
-    def walk(texts) -> list[str]:
-        out: list[str] = []
-        for t in texts if texts is not None else ():
-            try:
-                out += [json.dumps(o, ensure_ascii=False) for o in objects_of(json.loads(t))]
-            except (ValueError, TypeError, RecursionError):
-                continue
-        return out
-
-    return bodies.map(walk)
-
-
-def has_type(obj: Column, kind: str) -> Column:
-    """Whether a JSON object's ``@type`` is this one or a list with it, in any case."""
-    raw = F.lower(F.coalesce(F.get_json_object(obj, "$.@type"), F.lit("")))
-    return (raw == kind.lower()) | F.contains(raw, F.lit(f'"{kind.lower()}"'))
-
-
 def _field(obj: Column, name: str) -> Column:
     return F.get_json_object(obj, f"$.{name}")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, pages, units
 from ..functions.text import clean_text, is_specific_name
+from . import walk
 
 STRUCTURED, HEURISTIC = 0.90, 0.72
 
@@ -20,9 +21,10 @@ def structured_products(captured: DataFrame, company: str) -> DataFrame:
 
     A product has a specific name, and the word mattress in its name, description or page's address.
     """
-    bodies = captured.select("id", "url", pages.json_objects(html.json_ld(F.col("html"))).alias("objects"))
     o = F.col("o")
-    rows = bodies.select("id", "url", F.posexplode("objects").alias("place", "o")).where(pages.has_type(o, "Product"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("script", "place")) - 1
+    objects = walk.linked_objects(captured).select("id", nth.alias("place"), "v").where(walk.has_type(F.col("v"), "Product"))
+    rows = objects.select("id", "place", F.to_json("v").alias("o")).join(captured.select("id", "url"), "id")
     get = lambda k: clean_text(F.get_json_object(o, f"$.{k}"))
     cut = rows.select("id", "url", "place", get("name").alias("name"), get("description").alias("description"), F.nullif(get("category"), F.lit("")).alias("family"), F.coalesce(F.nullif(get("url"), F.lit("")), F.col("url")).alias("canonical_url"), pages.brand(o, F.lit(company)).alias("brand"), pages.offer(o).alias("offer"), get("weight").alias("weight"))
     both = F.concat_ws(" ", "name", "description")

@@ -60,6 +60,13 @@ def facts(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text", F.explode(F.concat(*made)).alias("o")).select("id", "text", "o.*").where("value is not null")
 
 
+def named(texts: DataFrame) -> DataFrame:
+    """id and the columns of SCHEMA of the materials named in texts (id, text)."""
+    return mentions(texts).select(
+        "id", F.lit("material.mention").alias("field"), clean_text("alias").alias("value"), F.lit(None).cast("string").alias("unit"), "material", F.lit("material_dictionary").alias("method"), "start", "stop", F.lit(0.88).alias("confidence"), F.lit(0).alias("pass")
+    )
+
+
 def observations(texts: DataFrame, most: int = MOST) -> DataFrame:
     """observation_id, id, field, value, unit, material, method, start, stop, excerpt, confidence of texts (id, text, reliability).
 
@@ -67,10 +74,7 @@ def observations(texts: DataFrame, most: int = MOST) -> DataFrame:
     identifier the surest stays, the first of equals; ``most`` a text, in that order, as the feature's bound.
     """
     known = texts.select("id", "reliability", F.col("text").alias("whole"))
-    named = mentions(texts).select(
-        "id", F.lit("material.mention").alias("field"), clean_text("alias").alias("value"), F.lit(None).cast("string").alias("unit"), "material", F.lit("material_dictionary").alias("method"), "start", "stop", F.lit(0.88).alias("confidence"), F.lit(0).alias("pass")
-    )
-    every = named.unionByName(facts(texts.select("id", "text")).drop("text")).join(known, "id")
+    every = named(texts).unionByName(facts(texts.select("id", "text")).drop("text")).join(known, "id")
     sure = F.least(F.lit(1.0), F.col("confidence") * F.col("reliability") / 0.95)
     words = context("whole", F.col("start"), F.col("stop"))
     rows = every.select("id", "field", "value", "unit", "material", "method", "start", "stop", words.alias("excerpt"), sure.alias("confidence"), "pass")

@@ -66,9 +66,22 @@ UNION ALL SELECT concat('nation:', CAST(c_nationkey AS STRING)), 'HAS_CUSTOMER',
 UNION ALL SELECT concat('customer:', CAST(o_custkey AS STRING)), 'HAS_ORDER', concat('order:', CAST(o_orderkey AS STRING)) FROM orders
 UNION ALL SELECT concat('order:', CAST(l_orderkey AS STRING)), 'USES', concat('part:', CAST(l_partkey AS STRING)) FROM lineitem""",
 }
+_O, _C = "chr(123)", "chr(125)"  # braces, which a statement's own fields take
+VIEWS["v_spec_pages"] = f"""
+SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN {_D("0.95")} ELSE {_D("0.5")} END AS reliability,
+       concat('<!DOCTYPE html><html><head><title>', p_name, ' &amp; &#x201c;', p_brand, '&#8221;</title><!-- <h1>no</h1> --><meta name="description" content="Made by ', p_brand,
+       '"><script type="application/ld+json">', {_O}, '"@graph": [', {_O}, '"@type": ["Thing", "Product"], "name": "', p_name, '", "brand": ', {_O}, '"@type": "Brand", "name": "', p_brand, '"', {_C},
+       ', "offers": [', {_O}, '"price": "', CAST(p_size AS STRING), ',999.5", "priceCurrency": "INR"', {_C}, ']', {_C}, ']', {_C}, '</script></head><body><main><h1>', p_name,
+       ' <b>mattress</b></h1><table><thead><tr><th colspan="2">Specification</tr></thead><tr><th>Density<td>', CAST(20 + p_size AS STRING), ' kg/m3<tr><th>Core</th><td><b>Memory</b> <i>foam</i></td></tr><tr><td>Terms<td>',
+       CAST(1 + p_size % 12 AS STRING), ' years warranty</table><h1>second</h1></main></body></html>') AS html FROM part"""
+VIEWS["v_requests"] = f"""
+SELECT event_id, user_id AS id, concat('https://api.example.com/', event_type, '/', CAST(event_id % 10 AS STRING)) AS url,
+       CASE event_type WHEN 'view' THEN 'xhr' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'xhr' ELSE 'image' END AS resource_type,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat({_O}, '"data": [', props, ', ', {_O}, '"core": "', {case_of("CAST(event_id % 95 AS INT)", [a for a, _ in aliases()])}, '"', {_C}, '], "ok": true, "none": null', {_C}) END AS body,
+       CASE WHEN event_id % 3 = 0 THEN concat('store/', CAST(event_id AS STRING)) END AS stored_at FROM events"""
 #: The stacks whose candidates are enumerated have three layers.
 VIEWS["v_stacks"] = f"SELECT * FROM ({VIEWS['v_layers']}) y WHERE position <= 3"
-_TABLES = {"v_products": "part", "v_layers": "lineitem", "v_stacks": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
+_TABLES = {"v_spec_pages": "part", "v_requests": "events", "v_products": "part", "v_layers": "lineitem", "v_stacks": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

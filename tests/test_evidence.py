@@ -103,7 +103,8 @@ def test_merging(spark):
 def test_layers_merge_as_listed():
     out = merge.merged_layers([layer(1, "x", 10.0), layer(2, "z")], [layer(1, "y", 5.0), layer(2, "z", 7.0, 40.0)])
     assert [(x["position"], x["material"], x["thickness_mm"], x["density"], x["thickness_status"]) for x in out] == [(1, "x", 10.0, None, "seen"), (2, "z", 7.0, 40.0, "seen"), (3, "y", 5.0, None, "seen")]
-    assert [(x["position"], x["material"]) for x in merge.within_document([layer(4, "x")], [layer(1, "y"), layer(9, "x", 3.0)])] == [(4, "x"), (5, "y")]
+    twice = merge.merged_layers([layer(1, "x"), layer(1, "x", 4.0)], [layer(1, "x", 9.0, 8.0, ["e"]), layer(1, "q")])
+    assert [(x["position"], x["material"], x["thickness_mm"], x["density"], x["evidence"]) for x in twice] == [(1, "x", None, None, []), (1, "x", 4.0, 8.0, ["e"]), (2, "q", None, None, [])]
 
 
 def test_graph_properties(spark):
