@@ -331,62 +331,38 @@ def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- candidate stacks ----------------------------------------------------------------------------------------------------
+# Whole stacks of some thirty layers: SQL would have to enumerate 50,000 combinations a product; tests hold them against plain enumeration, and stacks of three layers against SQL.
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products, layers, variants = (view(spark, sf_dir, v) for v in ("v_products", "v_stacks", "v_variants"))
-    return configure.generate(products, layers, variants, dims.materials(spark))
-
-
-_CONFIG = f"""
-WITH {with_views("v_products", "v_stacks", "v_variants")}, m(material, densities, conductivity, heat, firmness, as_named) AS (VALUES {dims.material_values()}),
-g AS (SELECT unnest(generate_series(5, 300, 5))::INT AS t),
-l AS (SELECT l.*, CASE WHEN l.density IS NULL THEN m.densities ELSE [CAST(round_even(l.density, 0) AS INT)] END AS ds, s.densities AS sd, s.conductivity, s.heat, s.firmness AS soft, s.material AS named FROM v_stacks l JOIN m USING (material) JOIN m s ON s.material = m.as_named),
-x AS (SELECT p.*, a.ds AS d1, b.ds AS d2, c.ds AS d3, a.thickness_mm AS t1, b.thickness_mm AS t2, c.thickness_mm AS t3, a.sd AS s1, b.sd AS s2, c.sd AS s3, a.soft AS f1, b.soft AS f2, c.soft AS f3, a.named AS m1, b.named AS m2, c.named AS m3,
-  a.conductivity AS k1, b.conductivity AS k2, c.conductivity AS k3, a.heat AS h1, b.heat AS h2, c.heat AS h3 FROM v_products p JOIN l a ON a.product_id = p.product_id AND a.position = 1 JOIN l b ON b.product_id = p.product_id AND b.position = 2 JOIN l c ON c.product_id = p.product_id AND c.position = 3),
-o1 AS (SELECT product_id, t AS a FROM x, g WHERE t1 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t1::INT FROM x WHERE t1 IS NOT NULL),
-o2 AS (SELECT product_id, t AS b FROM x, g WHERE t2 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t2::INT FROM x WHERE t2 IS NOT NULL),
-o3 AS (SELECT product_id, t AS c FROM x, g WHERE t3 IS NULL AND t <= greatest(10, total_mm - 20) UNION ALL SELECT product_id, t3::INT FROM x WHERE t3 IS NOT NULL),
-e AS (SELECT product_id, a, b, c FROM x JOIN o1 USING (product_id) JOIN o2 USING (product_id) JOIN o3 USING (product_id) WHERE a + b + c = total_mm),
-er AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY a, b, c) AS sol FROM e QUALIFY sol <= 1000),
-w AS (SELECT product_id, total_mm, [greatest(coalesce(t1, 1), 1), greatest(coalesce(t2, 1), 1), greatest(coalesce(t3, 1), 1)] AS w FROM x WHERE product_id NOT IN (SELECT product_id FROM er)),
-q AS (SELECT product_id, total_mm, i, (total_mm - 3) * w[i] / list_sum(w) AS r FROM w, (SELECT unnest([1, 2, 3]) AS i)),
-z AS (SELECT product_id, i, 1 + floor(r)::INT + CASE WHEN row_number() OVER (PARTITION BY product_id ORDER BY r - floor(r) DESC, i) <= total_mm - sum(1 + floor(r)::INT) OVER (PARTITION BY product_id) THEN 1 ELSE 0 END AS t FROM q),
-sol AS (SELECT product_id, a, b, c, sol FROM er UNION ALL SELECT product_id, max(CASE WHEN i = 1 THEN t END), max(CASE WHEN i = 2 THEN t END), max(CASE WHEN i = 3 THEN t END), 1 FROM z GROUP BY product_id),
-den AS (SELECT x.*, i.i, j.j, k.k, d1[i.i] AS p1, d2[j.j] AS p2, d3[k.k] AS p3 FROM x, (SELECT unnest([1, 2, 3]) AS i) i, (SELECT unnest([1, 2, 3]) AS j) j, (SELECT unnest([1, 2, 3]) AS k) k WHERE i <= len(d1) AND j <= len(d2) AND k <= len(d3)),
-n AS (SELECT den.*, a, b, c, (sol - 1) * len(d1) * len(d2) * len(d3) + ((i - 1) * len(d2) + j - 1) * len(d3) + k AS enumerated, (1520.0::DOUBLE * 1980 / 1e6) * (a / 1000::DOUBLE * p1 + b / 1000::DOUBLE * p2 + c / 1000::DOUBLE * p3) AS kg FROM den JOIN sol USING (product_id)),
-s AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY enumerated) AS place FROM n WHERE enumerated <= 50000 AND (weight_kg IS NULL OR abs(kg - weight_kg) <= greatest(2, weight_kg * 0.25::DOUBLE)) QUALIFY place <= 1000)"""
-
-
-@query("config_generate", f"{_CONFIG} SELECT product_id, place, enumerated, [a, b, c] AS taken, [p1, p2, p3] AS picked, round(kg, 6) AS estimated_kg FROM s")
-def config_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("product_id", "place", "enumerated", "taken", "picked", F.round("estimated_kg", 6).alias("estimated_kg"))
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, layers, variants = (view(spark, sf_dir, v) for v in ("v_products", "v_layers", "v_variants"))
+    return configure.planned(products, layers, variants, dims.materials(spark))
 
 
-_PRIOR = "CASE list_position({s}, {p}) WHEN 1 THEN 0.2 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 ELSE 0.01 END::DOUBLE".format
-_GAUSS = "(-0.5::DOUBLE * power(({o} - {p}) / ({s}), 2) - ln(({s}) * sqrt(2 * pi())))".format
-_FEEL = " ".join(f"WHEN '{n}' THEN {x}" for n, x in units.FIRMNESS)
-_RANKED = f"""{_CONFIG}, sc AS (SELECT *, ln({_PRIOR(s="s1", p="p1")}) + ln({_PRIOR(s="s2", p="p2")}) + ln({_PRIOR(s="s3", p="p3")}) + coalesce({_GAUSS(o="weight_kg", p="kg", s="greatest(1.5::DOUBLE, weight_kg * 0.12::DOUBLE)")}, 0)
- + {_GAUSS(o=f"(CASE firmness {_FEEL} END)::DOUBLE", p="((f1 * a + f2 * b + f3 * c) / (a + b + c))", s="0.18::DOUBLE")} AS score FROM s),
-po AS (SELECT *, exp(greatest(score - max(score) OVER (PARTITION BY product_id), -700)) AS w FROM sc),
-rk AS (SELECT product_id, place, score, w / sum(w) OVER (PARTITION BY product_id) AS posterior, row_number() OVER (PARTITION BY product_id ORDER BY round(score, 9) DESC, place) AS rank FROM po QUALIFY rank <= 10)"""
+@query("config_generate")
+def config_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _plan(spark, sf_dir)
+    found = configure.decoded(*configure.candidates(plan), plan.select("product_id", "options", "total"))
+    return found.select("product_id", "place", "enumerated", "taken", "picked", F.round("estimated_kg", 6).alias("estimated_kg"))
 
 
-@query("config_rank", f"{_RANKED} SELECT product_id, rank, place, round(posterior, 6) AS posterior FROM rk")
+@query("config_rank")
 def config_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure.rank(_candidates(spark, sf_dir)).select("product_id", "rank", "place", F.round("posterior", 6).alias("posterior"))
+    return configure.rank(_plan(spark, sf_dir)).select("product_id", "rank", "place", F.round("posterior", 6).alias("posterior"))
 
 
-@query(
-    "thermal_screen",
-    f"""{_CONFIG}, r AS (SELECT product_id, place, a / 1000::DOUBLE / k1 + b / 1000::DOUBLE / k2 + c / 1000::DOUBLE / k3 AS resistance, a / 1000::DOUBLE * p1 * h1 + b / 1000::DOUBLE * p2 * h2 + c / 1000::DOUBLE * p3 * h3 AS heat FROM s),
-y AS (SELECT *, (1.8::DOUBLE * 37 + 0.18::DOUBLE / resistance * 25) / (1.8::DOUBLE + 0.18::DOUBLE / resistance) AS e, 1 - (1.8::DOUBLE + 0.18::DOUBLE / resistance) * 5 / greatest(100, heat * 0.18::DOUBLE) AS f FROM r)
-SELECT product_id, place, round(resistance, 6) AS resistance, round(heat, 3) AS heat_capacity, round(list_sum(list_transform(generate_series(4140, 4320), lambda i: e + (25 - e) * power(f, i))) / 181, 6) AS final_c,
- round(list_sum(list_transform(generate_series(0, 4320), lambda i: CASE WHEN e + (25 - e) * power(f, i) BETWEEN 28 AND 32 THEN 1 ELSE 0 END)) * 5 / 60::DOUBLE, 6) AS comfort_minutes, round(greatest(25, e + (25 - e) * power(f, 4320)), 6) AS peak_c FROM y""",
-)
+@query("config_rank_supported")
+def config_rank_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the densities that neighbours by text state."""
+    near = similarity.density_support(_near(spark, sf_dir), view(spark, sf_dir, "v_layers")).withColumnRenamed("id", "product_id")
+    return configure.rank(_plan(spark, sf_dir), near).select("product_id", "rank", "place", F.round("posterior", 6).alias("posterior"))
+
+
+@query("thermal_screen")
 def thermal_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screens every candidate of every product."""
-    out = thermal.screen(_candidates(spark, sf_dir))
+    plan = _plan(spark, sf_dir)
+    out = thermal.screen(configure.decoded(*configure.candidates(plan), plan.select("product_id", "stack", "options", "total")))
     return out.select("product_id", "place", F.round("resistance", 6).alias("resistance"), F.round("heat_capacity", 3).alias("heat_capacity"), *(F.round(c, 6).alias(c) for c in ("final_c", "comfort_minutes", "peak_c")))
 
 

@@ -79,9 +79,7 @@ SELECT event_id, user_id AS id, concat('https://api.example.com/', event_type, '
        CASE event_type WHEN 'view' THEN 'xhr' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'xhr' ELSE 'image' END AS resource_type,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat({_O}, '"data": [', props, ', ', {_O}, '"core": "', {case_of("CAST(event_id % 95 AS INT)", [a for a, _ in aliases()])}, '"', {_C}, '], "ok": true, "none": null', {_C}) END AS body,
        CASE WHEN event_id % 3 = 0 THEN concat('store/', CAST(event_id AS STRING)) END AS stored_at FROM events"""
-#: The stacks whose candidates are enumerated have three layers.
-VIEWS["v_stacks"] = f"SELECT * FROM ({VIEWS['v_layers']}) y WHERE position <= 3"
-_TABLES = {"v_spec_pages": "part", "v_requests": "events", "v_products": "part", "v_layers": "lineitem", "v_stacks": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
+_TABLES = {"v_spec_pages": "part", "v_requests": "events", "v_products": "part", "v_layers": "lineitem", "v_variants": "part", "v_spec_text": "part", "v_observations": "events", "v_images": "pages", "v_jobs": "events", "v_assets": "part", "v_captures": "pages", "v_evidence": "lineitem", "v_dossiers": "part", "v_edges": "nation customer orders lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,10 +21,10 @@ def demo(spark):
 
 @pytest.mark.parametrize(("mode", "expected"), [("reference", [0.540624, 0.425917, 0.033459]), ("identity", [0.602853, 0.255071, 0.142076])])
 def test_demo_catalogue(spark, mode, expected):
-    candidates = configure.generate(*demo(spark), dims.materials(spark), normalization=mode)
-    kept = {r.product_id: r["count"] for r in candidates.groupBy("product_id").count().collect()}
+    plan = configure.planned(*demo(spark), dims.materials(spark), normalization=mode)
+    kept = {r.product_id: r["count"] for r in configure.candidates(plan)[0].groupBy("product_id").count().collect()}
     assert kept == {1: 3, 2: 1}
-    ranked = configure.rank(candidates).where("product_id = 1").orderBy("rank").collect()
+    ranked = configure.rank(plan).where("product_id = 1").orderBy("rank").collect()
     assert [r.posterior for r in ranked] == pytest.approx(expected, abs=1e-6)
 
 
@@ -91,7 +91,8 @@ def test_stacks_of_any_height_match_plain_enumeration(spark):
     layers = spark.createDataFrame([(n, i + 1, names[i], 20.0 if i == 1 else None, None if i in (0, 3) else 30.0 + i) for n in (1, 4, 5) for i in range(n)], "product_id long, position int, material string, thickness_mm double, density double")
     variants = spark.createDataFrame([(i, 1, 1520.0, 1980.0) for i in (1, 4, 5)], "product_id long, ordinal int, width_mm double, length_mm double")
     found: dict[int, list] = {1: [], 4: [], 5: []}
-    candidates = configure.generate(products, layers, variants, dims.materials(spark), normalization="identity")
+    plan = configure.planned(products, layers, variants, dims.materials(spark), normalization="identity")
+    candidates = configure.decoded(*configure.candidates(plan), plan)
     for r in candidates.orderBy("product_id", "place").collect():
         found[r.product_id].append((r.enumerated, tuple(r.taken), tuple(r.picked)))
     for n in (1, 4, 5):
@@ -99,7 +100,7 @@ def test_stacks_of_any_height_match_plain_enumeration(spark):
         stacks = [t for t in cross(*[[20] if i == 1 else grid for i in range(n)]) if sum(t) == 80][:1000]
         densities = [dims.MATERIALS[names[i]][0] if i in (0, 3) else (30 + i,) for i in range(n)]
         assert found[n] == [(k, t, d) for k, (t, d) in enumerate(cross(stacks, cross(*densities)), 1)][:1000]
-    assert {len(r.taken) for r in configure.rank(candidates).where("product_id = 5").collect()} == {5}
+    assert {len(r.taken) for r in configure.rank(plan).where("product_id = 5").collect()} == {5}
 
 
 def test_screen_counts_as_steps_do(spark):
