@@ -35,3 +35,23 @@ def traverse(graph: DataFrame, start: str, depth: int, relations: list[str] | No
             break
         seen = seen.unionByName(frontier)
     return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id and component (the smallest id that links lead to) of every end of links (a, b); ids are numbers. Rounds are checkpointed and end when nothing moves.
+
+    In a round every node is tied to the smallest of its neighbours and itself, first those above it and then those below; each round shortens every path, and sums of ties only get smaller.
+    """
+    up = cut(links.where("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
+    while True:
+        seen = up.union(up.select(F.col("low").alias("high"), F.col("high").alias("low")))
+        least = seen.groupBy("high").agg(F.least(F.min("low"), F.col("high")).alias("to"))
+        above = seen.where("low > high").join(least, "high").select(F.col("low").alias("high"), F.col("to").alias("low")).distinct()
+        root = above.groupBy("high").agg(F.min("low").alias("to"))
+        tied = above.join(root, "high")
+        ties = tied.select("high", F.col("to").alias("low")).union(tied.where("low != to").select(F.col("low").alias("high"), F.col("to").alias("low")))
+        now = cut(ties.distinct())
+        if now.exceptAll(up).isEmpty() and up.exceptAll(now).isEmpty():
+            roots = now.select(F.col("low").alias("id")).distinct().join(now.select(F.col("high").alias("id")).distinct(), "id", "left_anti")
+            return now.select(F.col("high").alias("id"), F.col("low").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+        up = now
