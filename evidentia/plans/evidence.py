@@ -7,48 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions import pages, scores, search
 from ..operators import exports, knowledge, observe, validate
-from ..registry import _HOST, _PATH, _VISITED, DOMAIN, ORACLE, _visited, query
+from ..registry import _DETAIL, _HOST, _NO_PRODUCT, _VISITED, DOMAIN, ORACLE, _visited, query
 from ..sources.views import table, view, with_views
 
-_DETAILED = r"regexp_matches(lower(p), '/(product|products|shop|mattress|mattresses)/[^/]')"
-_OTHER = r"(regexp_matches(lower(p), '/(collection|collections|page|pages)/(mattress-in-|mattress-for-|mattress-store-in-|mattress-category|(recliner|bedsheet|pillow|chair|sofa|store)s?)(/|$)') OR regexp_matches(lower(p), '/blogs?/|/pages/store|/pages/mattress-store|/collections/all'))"
-
-
 @query(
     "document_types",
     f"""
-WITH v AS (SELECT page_id, url, {_PATH} AS p FROM {_VISITED}) SELECT page_id, CASE WHEN {_OTHER} THEN CASE WHEN contains(lower(url), 'mattress-in-') THEN 'location_page' WHEN contains(lower(url), 'store') THEN 'store_page'
- WHEN contains(lower(url), '/blog') THEN 'blog_or_guide' ELSE 'collection' END WHEN {_DETAILED} THEN 'product_detail' WHEN ends_with(lower(url), '.pdf') THEN 'catalogue' ELSE 'other' END AS kind FROM v""",
+SELECT page_id, CASE WHEN {_NO_PRODUCT} THEN CASE WHEN contains(low, 'mattress-in-') THEN 'location_page' WHEN contains(low, 'store') THEN 'store_page'
+ WHEN contains(low, '/blog') THEN 'blog_or_guide' ELSE 'collection' END WHEN {_DETAIL} THEN 'product_detail' WHEN ends_with(low, '.pdf') THEN 'catalogue' ELSE 'other' END AS kind FROM {_VISITED}""",
 )
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visited(spark, sf_dir).select("page_id", pages.document_type(F.col("url"), F.lit(False)).alias("kind"))
 
 
 _SHOP = "CASE page_id % 4 WHEN 0 THEN ' Our mattress, add to cart ' WHEN 1 THEN ' latex mattress by Acme ' ELSE ' ' END"
+_OWN = "CASE WHEN v.page_id < 0 THEN -1 - v.page_id ELSE v.page_id END"
 _HAS = lambda t, words: "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
 
 @query(
     "relevant_documents",
     f"""
-WITH v AS (SELECT page_id, p, lower(substr({_SHOP} || coalesce(html, ''), 1, 20000)) AS a, lower(substr({_SHOP} || coalesce(html, ''), 1, 50000)) AS b FROM (SELECT page_id, {_PATH} AS p FROM {_VISITED}) v JOIN (SELECT page_id, html FROM pages) h USING (page_id)),
-l AS (SELECT *, NOT {_OTHER} AND {_DETAILED} AND contains(a, 'mattress') AND {_HAS("a", pages.COMMERCE)} AS product FROM v)
+WITH v AS (SELECT v.page_id, p, s, lower(substr(shop || coalesce(html, ''), 1, 20000)) AS a, lower(substr(shop || coalesce(html, ''), 1, 50000)) AS b FROM {_VISITED} v JOIN (SELECT page_id AS own, html, {_SHOP} AS shop FROM pages) h ON own = {_OWN}),
+l AS (SELECT *, NOT {_NO_PRODUCT} AND {_DETAIL} AND contains(a, 'mattress') AND {_HAS("a", pages.COMMERCE)} AS product FROM v)
 SELECT page_id, product, product OR (contains(b, 'mattress') AND contains(b, 'acme') AND {_HAS("b", pages.EVIDENCE)}) AS relevant FROM l""",
 )
 def relevant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "pages").select("page_id", F.concat(F.expr(_SHOP), F.coalesce("html", F.lit(""))).alias("t"))
-    both = _visited(spark, sf_dir).join(body, "page_id")
+    body = table(spark, sf_dir, "pages").select(F.col("page_id").alias("own"), F.concat(F.expr(_SHOP), F.coalesce("html", F.lit(""))).alias("t"))
+    both = _visited(spark, sf_dir).alias("v").withColumn("own", F.expr(_OWN)).join(body, "own")
     return both.select("page_id", pages.looks_like_product(F.col("url"), F.col("t")).alias("product"), pages.looks_relevant(F.col("url"), F.col("t"), ("Acme",)).alias("relevant"))
 
 
 @query(
     "document_sources",
     f"""
-WITH k AS ({ORACLE["source_kind"]}), v AS (SELECT v.page_id, v.url, sha256(coalesce(html, '')) AS sha256 FROM {_VISITED} v JOIN (SELECT page_id, html FROM pages) h USING (page_id))
+WITH k AS ({ORACLE["source_kind"]}), v AS (SELECT v.page_id, v.url, sha256(coalesce(html, '')) AS sha256 FROM {_VISITED} v JOIN (SELECT page_id AS own, html FROM pages) h ON own = {_OWN})
 SELECT 'src_' || substr(sha256(lower(trim(url)) || '|' || sha256), 1, 16) AS source_id, 'Acme' AS company, url, kind, official, reliability, sha256 FROM v JOIN k USING (page_id)""",
 )
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visited(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body")), "page_id").withColumns({"title": F.lit(None).cast("string"), "retrieved": F.lit(0)})
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("own"), F.col("html").alias("body"))
+    docs = _visited(spark, sf_dir).alias("v").withColumn("own", F.expr(_OWN)).join(own, "own").withColumns({"title": F.lit(None).cast("string"), "retrieved": F.lit(0)})
     return observe.sources(docs, "Acme", DOMAIN).drop("title", "retrieved_at")
 
 

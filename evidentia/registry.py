@@ -47,20 +47,31 @@ _PATHS = "CASE page_id % 6 WHEN 0 THEN '/products/a' WHEN 1 THEN '/collections/m
 
 
 def _visited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with paths like a shop's."""
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.expr(_PATHS)).alias("url"))
+    """Pages as they are, and each once more (under -1 - page_id) with a path like a shop's."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url").union(pages.select(-1 - F.col("page_id"), F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.expr(_PATHS))))
 
 
-_VISITED = f"(SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || {_PATHS} AS url FROM pages)"
-_DETAIL = "'/(products?|shop|mattress(es)?)/[^/?#]+'"
+#: The same for SQL, with the lower-case address, its path and the path's segments.
+_VISITED = f"""(SELECT *, lower(url) AS low, lower({_PATH}) AS p, string_split(lower({_PATH}), '/') AS s
+  FROM (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || {_PATHS} FROM pages) u)"""
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_FOLLOWS = lambda heads, test: f"(len(list_filter(generate_series(1, len(s) - 1), lambda i: s[i] IN ({_LIST(heads)}) AND ({test}))) > 0)"
+_DETAIL = _FOLLOWS(urls.DETAIL_HEADS, "s[i + 1] <> ''")
+_LOCATION = _FOLLOWS(urls.LIST_HEADS, " OR ".join(f"(starts_with(s[i + 1], '{w}') AND len(s[i + 1]) > {len(w)})" for w in urls.LOCATION_STARTS) + f" OR s[i + 1] IN ({_LIST(urls.LOCATION_NAMES)})")
+_OTHERS = (*urls.LOCATION_STARTS, "mattress-category", *urls.OTHER_GOODS, *(g + "s" for g in urls.OTHER_GOODS))
+_NO_PRODUCT = f"({_FOLLOWS(urls.LIST_HEADS, f's[i + 1] IN ({_LIST(_OTHERS)})')} OR {_ANY('p', urls.NON_PRODUCT_TOKENS)})"
 
 
 @query(
     "url_priority",
     f"""
-SELECT page_id, CAST(CASE WHEN contains(url, '/cart') OR contains(url, '/collections/chairs') THEN -100 WHEN contains(url, '/blog/') THEN -20
-  ELSE CASE WHEN regexp_matches({_PATH}, {_DETAIL}) THEN 90 WHEN rtrim({_PATH}, '/') = '/collections/mattress' THEN 24 WHEN contains({_PATH}, '/collections/') THEN 4 ELSE 0 END
-    + CASE WHEN ends_with(url, '.pdf') THEN 70 ELSE 0 END + CASE WHEN contains(url, 'catalog') THEN 25 ELSE 0 END END AS INTEGER) AS priority FROM {_VISITED}""",
+SELECT page_id, CAST(CASE WHEN {_ANY("low", urls.REJECTED)} OR {_LOCATION} THEN -100 WHEN {_ANY("p", ("/blogs/", "/blog/"))} THEN -20
+  ELSE CASE WHEN {_DETAIL} THEN 90 WHEN rtrim(p, '/') IN ('/collections/mattress', '/collections/mattresses') THEN 24 WHEN contains(p, '/collections/') THEN 4
+      ELSE 10 * ({" + ".join(f"contains(p, '{w}')::INT" for w in urls.PRODUCT_HINTS)}) END
+    + CASE WHEN ends_with(low, '.pdf') OR ends_with(low, '.pdf?download=1') THEN 70 ELSE 0 END + CASE WHEN {_ANY("low", ("catalog", "brochure", "specification"))} THEN 25 ELSE 0 END
+    + CASE WHEN {_ANY("low", ("patent", "teardown", "cut-open", "cutopen"))} THEN 20 ELSE 0 END END AS INTEGER) AS priority FROM {_VISITED}""",
 )
 def url_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visited(spark, sf_dir).select("page_id", urls.priority(F.col("url")).cast("int").alias("priority"))
@@ -69,9 +80,10 @@ def url_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "source_kind",
     rf"""
-SELECT page_id, CASE WHEN o AND ends_with(url, '.pdf') THEN 'official_catalogue' WHEN o AND regexp_matches(url, {_DETAIL}) THEN 'official_product' WHEN o THEN 'official_other' ELSE 'other' END AS kind,
-  o AS official, CASE WHEN o AND (ends_with(url, '.pdf') OR regexp_matches(url, {_DETAIL})) THEN 0.95::DOUBLE WHEN o THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS reliability
-FROM (SELECT *, regexp_replace({_HOST}, '^www\.', '') = '{DOMAIN}' OR ends_with({_HOST}, '.{DOMAIN}') AS o FROM {_VISITED})""",
+SELECT page_id, kind, o AS official, CASE kind WHEN 'official_catalogue' THEN 0.95 WHEN 'official_product' THEN 0.95 WHEN 'official_other' THEN 0.85 WHEN 'patent' THEN 0.85 WHEN 'retailer' THEN 0.6 WHEN 'teardown' THEN 0.8 ELSE 0.5 END::DOUBLE AS reliability
+FROM (SELECT *, CASE WHEN o AND ends_with(low, '.pdf') THEN 'official_catalogue' WHEN o AND {_DETAIL} AND NOT {_NO_PRODUCT} THEN 'official_product' WHEN o THEN 'official_other' WHEN contains(low, 'patent') THEN 'patent'
+  WHEN {_ANY("low", ("review", "retailer", "store", "shop"))} THEN 'retailer' WHEN {_ANY("low", ("teardown", "cut-open", "cutopen"))} THEN 'teardown' ELSE 'other' END AS kind
+FROM (SELECT *, regexp_replace({_HOST}, '^www\.', '') = '{DOMAIN}' OR ends_with({_HOST}, '.{DOMAIN}') AS o FROM {_VISITED}) v) w""",
 )
 def source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visited(spark, sf_dir).select("page_id", urls.source_kind(F.col("url"), DOMAIN).alias("k")).select("page_id", "k.kind", "k.official", "k.reliability")
