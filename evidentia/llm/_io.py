@@ -45,3 +45,11 @@ def partitions(spark: SparkSession) -> int:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named input columns under the operator's own names; whatever else the input has is left out."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import batches_of, only, stored
+from ._io import batches_of, fresh, only, stored
 from ._text import _SPACE, U64, pieces
 
 Q = 8
 RATE = 0.1
 BLOCK_BYTES = 8 << 20
+#: Meetings of equal q-grams that are held at a time.
+MEETINGS = 1 << 20
 #: A byte that goes on with a word.
 PART = rb"[0-9A-Za-z_\x80-\xff]"
 _HASH = U64(0x9E3779B97F4A7C15)
@@ -127,26 +129,34 @@ class Items:
         whole = at + Q <= edges[row + 1]
         at, k, row = at[whole], k[whole], row[whole]
         n = self.first[k + 1] - self.first[k]
-        if not n.sum():
-            return
-        post = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        at, row, item = np.repeat(at, n), np.repeat(row, n), self.item[post]
-        place = self.place[post]
-        diagonal = at - edges[row] - place + self.most
-        band = diagonal // self.step[item]
-        wide = int(band.max()) + 2
-        key = (row * len(self.m) + item) * wide + band
-        key, place = np.concatenate([key, (key - 1)[band > 0]]), np.concatenate([place, place[band > 0]])
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(heads, append=len(key))
-        at = key[heads]
-        row, item, band = at // wide // len(self.m), at // wide % len(self.m), at % wide
-        for i in np.flatnonzero(count >= self.bound[item]):
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        wide = int((np.diff(edges).max(initial=0) + self.most) // self.step.min(initial=1)) + 2
+        key, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # places of the text with all places of items that have the same q-gram, some at a time, as repetitive texts have very many
+        for f in range(0, total, MEETINGS):
+            g = np.arange(f, min(total, f + MEETINGS))
+            pos = np.searchsorted(ends, g, side="right")
+            post = self.first[k[pos]] + g - (ends[pos] - n[pos])
+            item, there = self.item[post], self.place[post]
+            band = (at[pos] - edges[row[pos]] - there + self.most) // self.step[item]
+            new = (row[pos] * len(self.m) + item) * wide + band
+            key, place = np.concatenate([key, new, (new - 1)[band > 0]]), np.concatenate([place, there, there[band > 0]])
             # the bound is on places of the item, each counted once
-            if len(np.unique(place[heads[i] : heads[i] + count[i]])) >= self.bound[item[i]]:
-                yield int(row[i]), int(item[i]), int(band[i])
+            keys, index = np.unique(key, return_inverse=True)
+            once = np.unique(index * (self.most + 1) + place)
+            of, place = once // (self.most + 1), once % (self.most + 1)
+            count = np.bincount(of, minlength=len(keys))
+            r, item, band = keys // wide // len(self.m), keys // wide % len(self.m), keys % wide
+            done = np.ones(len(keys), bool)
+            if f + MEETINGS < total:
+                after = min(int(np.searchsorted(ends, f + MEETINGS, side="right")), len(at) - 1)
+                # no later place reaches a diagonal below this one
+                done = (r < row[after]) | ((band + 2) * self.step[item] <= at[after] - edges[row[after]] + Q)
+            for i in np.flatnonzero(done & (count >= self.bound[item])):
+                yield int(r[i]), int(item[i]), int(band[i])
+            open_ = ~done[of]
+            key, place = keys[of[open_]], place[open_]
 
     def verify(self, text: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best alignment of the item in the band of one document's text, if within its budget."""
@@ -239,5 +249,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """The documents that have no item of the benchmark, with all their columns; rows with a null identifier stay."""
-    hits = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col(f"`{id_col}`") == F.col("__hit"), "left_anti")
+    hit = fresh(docs, "hit")
+    hits = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, F.col(f"`{id_col}`") == F.col(hit), "left_anti")

@@ -140,7 +140,7 @@ def _predict(langs: list[str], proto: np.ndarray, dimensions: int):
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text, if None) with lang_pred and score."""
+    """The columns ``keep`` (all but the text, if None) with lang_pred and score, in place of columns of these names."""
     batches_of(docs.sparkSession, 500)
     langs, proto = model
     kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in (text_col, "lang_pred", "score")], F.col(f"`{text_col}`").alias("__text"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._io import batches_of, only, partitions, stored
+from ._io import batches_of, fresh, only, partitions, stored
 from ._text import U64, Words, mix, signed, texts
 
 WIDTH = 4
@@ -382,5 +382,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows that are the smallest of their component, with all their columns; rows with a null identifier stay."""
-    found = jaccard_components(docs, id_col, text_col, **how).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    found = jaccard_components(docs, id_col, text_col, **how).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(f"`{id_col}`") == F.col(gone), "left_anti")

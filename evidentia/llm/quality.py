@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import batches_of, only
+from ._io import batches_of, fresh, only
 from ._text import U64, Words, buffers, hashes, mix, pieces, texts
 
 BUCKETS = 1 << 18
@@ -155,7 +155,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The documents with all their columns, without those that are not kept; of rows with one identifier all stay if one is kept, and rows with a null identifier stay."""
     gone = judge(docs, labels, id_col, text_col, least).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")
-    name = "gone"
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
+    name = fresh(docs, "gone")
     return docs.join(gone.withColumnRenamed("doc_id", name), F.col(f"`{id_col}`") == F.col(name), "left_anti")
