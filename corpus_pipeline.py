@@ -22,9 +22,13 @@ SHINGLE, SHARE = 5, 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator calls und (without letters) go, and no others, as short clean texts may have any score; empty tables stay empty, and without any labelled row all go."""
     model = langid.train(docs.where(~langid.held_out()))
-    (copy,) = fresh(docs, "__copy")
-    judged = langid.predict(docs.withColumn(copy, F.col("text")), model, copy, docs.columns)
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    # columns of the operator's own names step aside
+    own = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
+    aside = dict(zip(own, fresh(docs, *(f"own_{c}" for c in own)), strict=True))
+    renamed = docs.withColumnsRenamed(aside)
+    (copy,) = fresh(renamed, "__copy")
+    judged = langid.predict(renamed.withColumn(copy, F.col("text")), model, copy, renamed.columns)
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
