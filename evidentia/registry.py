@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scores, text, units, urls
-from .operators import configure, graph, records, resolve, similarity, thermal
+from .operators import configure, graph, merge, records, resolve, similarity, thermal
 from .sources import dims
 from .sources.views import table, view, with_views
 
@@ -300,6 +300,30 @@ def entity_resolution_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(view(spark, sf_dir, "v_products").withColumn("ordinal", F.col("product_id")))
 
 
+@query(
+    "products_merged",
+    rf"""
+WITH {with_views("v_products")}, k AS (SELECT *, company AS c, trim(regexp_replace(lower(brand), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(regexp_replace(lower(name), '(mattress|matress|bed)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS n FROM v_products),
+e AS (SELECT *, min(product_id) OVER (PARTITION BY c, b, n) AS entity_id FROM k),
+l AS (SELECT *, coalesce(confidence > max(confidence) OVER (PARTITION BY entity_id ORDER BY product_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS leads FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY NOT leads, CASE WHEN leads THEN -product_id ELSE product_id END) AS rank FROM l)
+SELECT entity_id, CAST(arg_min(product_id, rank) AS VARCHAR) AS product_id, arg_min(firmness, rank) AS firmness, arg_min(total_mm, rank)::DOUBLE AS total_mm, arg_min(weight_kg, CASE WHEN weight_kg IS NOT NULL THEN rank END) AS weight_kg,
+  arg_min(price, rank) AS price, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'html' END AS method, max(confidence) AS confidence, array_to_string(list(CAST(product_id AS VARCHAR) ORDER BY rank), ',') AS source_ids FROM r GROUP BY entity_id""",
+)
+def products_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of one company, brand and normalised name as one record."""
+    products = view(spark, sf_dir, "v_products")
+    own = F.col("product_id").cast("string")
+    none = F.lit(None).cast("string")
+    records_ = products.join(resolve.resolve_exact(products), "product_id").select(
+        "entity_id", F.col("product_id").alias("ordinal"), own.alias("product_id"), "company", "brand", "name", *(none.alias(c) for c in ("family", "canonical_url", "description")), "firmness", F.col("total_mm").cast("double").alias("total_mm"),
+        "weight_kg", "price", none.alias("currency"), F.array().cast(f"array<{merge.LAYER}>").alias("layers"), F.array().cast(f"array<{merge.VARIANT}>").alias("variants"), F.array(own).alias("source_ids"), F.array(F.col("company")).alias("tags"),
+        F.lit("html").alias("method"), "confidence",
+    )
+    found = merge.fold(records_)
+    return found.select("entity_id", "product_id", "firmness", "total_mm", "weight_kg", "price", "method", "confidence", F.array_join("source_ids", ",").alias("source_ids"))
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct brand and name of products: what similarity compares."""
     return view(spark, sf_dir, "v_products").groupBy("brand", "name").agg(F.min("product_id").alias("id")).select("id", F.concat_ws(" ", "brand", "name").alias("text"))
