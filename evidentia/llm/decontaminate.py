@@ -132,22 +132,42 @@ class Items:
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         wide = int((np.diff(edges).max(initial=0) + self.most) // self.step.min(initial=1)) + 2
-        key, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # places of the text with all places of items that have the same q-gram, some at a time, as repetitive texts have very many
-        for f in range(0, total, MEETINGS):
-            g = np.arange(f, min(total, f + MEETINGS))
+
+        def met(f: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+            """Band and place in the item of the meetings from number f on, each in the two bands that have its diagonal."""
+            g = np.arange(f, to)
             pos = np.searchsorted(ends, g, side="right")
             post = self.first[k[pos]] + g - (ends[pos] - n[pos])
             item, there = self.item[post], self.place[post]
             band = (at[pos] - edges[row[pos]] - there + self.most) // self.step[item]
             new = (row[pos] * len(self.m) + item) * wide + band
-            key, place = np.concatenate([key, new, (new - 1)[band > 0]]), np.concatenate([place, there, there[band > 0]])
-            # the bound is on places of the item, each counted once
+            return np.concatenate([new, (new - 1)[band > 0]]), np.concatenate([there, there[band > 0]])
+
+        def named(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return keys // wide // len(self.m), keys // wide % len(self.m), keys % wide
+
+        # the bound is on places of the item, each counted once
+        if total <= MEETINGS:
+            key, place = met(0, total)
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(heads, append=len(key))
+            r, item, band = named(key[heads])
+            for i in np.flatnonzero(count >= self.bound[item]):
+                if len(np.unique(place[heads[i] : heads[i] + count[i]])) >= self.bound[item[i]]:
+                    yield int(r[i]), int(item[i]), int(band[i])
+            return
+        # repetitive texts have very many meetings: some at a time, bands that can still grow being carried on
+        key, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for f in range(0, total, MEETINGS):
+            more = met(f, min(total, f + MEETINGS))
+            key, place = np.concatenate([key, more[0]]), np.concatenate([place, more[1]])
             keys, index = np.unique(key, return_inverse=True)
             once = np.unique(index * (self.most + 1) + place)
             of, place = once // (self.most + 1), once % (self.most + 1)
             count = np.bincount(of, minlength=len(keys))
-            r, item, band = keys // wide // len(self.m), keys // wide % len(self.m), keys % wide
+            r, item, band = named(keys)
             done = np.ones(len(keys), bool)
             if f + MEETINGS < total:
                 after = min(int(np.searchsorted(ends, f + MEETINGS, side="right")), len(at) - 1)
