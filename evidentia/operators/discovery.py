@@ -97,6 +97,14 @@ def accepted(log: DataFrame, services: tuple[str, ...], limit: int | None = None
     return (first if limit is None else first.limit(limit)).drop("o")
 
 
+def first_answering(log: DataFrame, services: tuple[str, ...], limit: int | None = None) -> DataFrame:
+    """``accepted`` of the first service in the order given that has any accepted address at all, whatever failed before; no rows if none has, which callers take for the search's failure."""
+    turn = F.array_position(F.array(*map(F.lit, services)), F.col("service"))
+    first = log.where(F.col("accepted") & F.col("url").isNotNull() & (turn > 0)).agg(F.min(turn).alias("__first"))
+    chosen = log.join(F.broadcast(first), turn == F.col("__first")).drop("__first")
+    return accepted(chosen, services, limit)
+
+
 def material_results(found: DataFrame, keys: DataFrame, limit: int, least: float = 0.5) -> DataFrame:
     """The first ``limit`` of results (ordinal, key, url, relevance and more) that name a known key, have a web address, are relevant enough, and are the first of their key and address."""
     fit = found.join(keys.select("key").distinct(), "key", "left_semi").where((F.col("url").startswith("http://") | F.col("url").startswith("https://")) & (F.col("relevance") >= least))

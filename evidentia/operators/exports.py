@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import glob
+import io
+import os
+import shutil
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -89,6 +96,59 @@ def bundle(frames: dict[str, DataFrame], path: str) -> None:
     write({k: v for k, v in frames.items() if k in ("coverage", "summary")}, f"{path}/json", "json")
 
 
+def one_file(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A frame as one file: CSV with a byte-order mark and a header, or a JSON array of records; its rows in the frame's order.
+
+    Tasks write parts, which are then copied into the file one line after the other, and the file gets its name last; ``path`` is on a file system that all nodes share.
+    """
+    if kind not in ("csv", "json"):
+        raise ValueError(f"{kind} is neither csv nor json")
+    parts, made = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
+    try:
+        if kind == "csv":
+            flat(df).write.option("header", False).option("escape", '"').option("emptyValue", "").option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(parts)
+        else:
+            df.write.option("ignoreNullFields", False).json(parts)
+        with open(made, "wb") as out:
+            if kind == "csv":
+                text = io.StringIO()
+                csv.writer(text, lineterminator="\n").writerow(df.columns)
+                out.write(b"\xef\xbb\xbf" + text.getvalue().encode())
+            else:
+                out.write(b"[")
+            first = True
+            for part in sorted(glob.glob(f"{glob.escape(parts)}/part-*")):
+                with open(part, "rb") as lines:
+                    if kind == "csv":
+                        shutil.copyfileobj(lines, out, 1 << 20)
+                        continue
+                    for line in lines:
+                        out.write((b"\n" if first else b",\n") + line.rstrip(b"\n"))
+                        first = False
+            if kind == "json":
+                out.write(b"\n]\n")
+        os.replace(made, path)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+        if os.path.exists(made):
+            os.remove(made)
+
+
+def primary_artifacts(products: DataFrame, materials: DataFrame, result: DataFrame, folder: str) -> dict[str, str]:
+    """The six primary files of a run and their paths: both tables as CSV and JSON, the materials as a workbook of one sheet, and the whole result, whose rows are JSON objects in one array."""
+    from ..sources import workbook
+
+    os.makedirs(folder, exist_ok=True)
+    named = {"table_csv_path": "displayed_products.csv", "table_json_path": "displayed_products.json", "material_csv_path": "trademark_materials.csv", "material_json_path": "trademark_materials.json", "material_excel_path": "trademark_materials.xlsx", "result_json_path": "research_result.json"}
+    paths = {k: f"{folder}/{v}" for k, v in named.items()}
+    for df, key in ((products, "table"), (materials, "material")):
+        for kind in ("csv", "json"):
+            one_file(df, paths[f"{key}_{kind}_path"], kind)
+    workbook.write({"Displayed Products": materials}, paths["material_excel_path"], "Materials", {})
+    one_file(result, paths["result_json_path"], "json")
+    return paths
+
+
 def write_series(wide: DataFrame, path: str) -> None:
     """A simulation's wide frame as CSV, numbers with six digits after the point."""
     numbers = [F.format_string("%.6f", F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`") for f in wide.schema.fields]
