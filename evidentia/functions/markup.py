@@ -76,12 +76,12 @@ def _instance(rows: DataFrame, name: str, depth: str, is_one: Column) -> DataFra
 
 
 def texts_within(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """spans (id, i, last, ...) with ``text``: the texts after the cuts i to last - 1, joined by blanks."""
-    known = rows.select("id", "i", "text")
+    """spans (id, i, last, ...) with ``text``: the texts after the cuts i to last - 1, joined by blanks. Both sides grow with the pages, however small the planner takes them to be, so neither is sent whole."""
+    known = rows.select("id", "i", "text").hint("merge")
     alone = spans.where("last = i + 1").join(known, ["id", "i"])
     wide = spans.where("last > i + 1").select("id", "i", F.explode(F.sequence("i", F.col("last") - 1)).alias("k")).join(known.withColumnRenamed("i", "k"), ["id", "k"])
     joined = wide.groupBy("id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return alone.unionByName(spans.where("last > i + 1").join(joined, ["id", "i"]))
+    return alone.unionByName(spans.where("last > i + 1").join(joined.hint("merge"), ["id", "i"]))
 
 
 def _ends(rows: DataFrame, tag: str) -> DataFrame:
@@ -99,7 +99,7 @@ def headings(rows: DataFrame) -> DataFrame:
     section = F.col("tag").isin(*SECTIONS)
     placed = _instance(_depth(rows.withColumn("__h1", (F.col("tag") == "h1") & ~F.col("closes")), "__deep", section), "__in", "__deep", section)
     first = placed.where("__h1").groupBy("id", "__deep", "__in").agg(F.min("i").alias("i")).select("id", "i")
-    h1 = texts_within(_ends(rows, "h1").join(first, ["id", "i"]), rows).withColumn("field", F.lit("document.h1"))
+    h1 = texts_within(_ends(rows, "h1").join(first.hint("merge"), ["id", "i"]), rows).withColumn("field", F.lit("document.h1"))
     both = titles.unionByName(h1).groupBy("id", "field")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ")
     return both.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), listed.alias("text"))

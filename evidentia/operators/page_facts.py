@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markup, pages
 from ..functions.text import clean_text, context, stable_id
 from ..sources import dims
-from ..sources.work import cut
+from ..sources.work import cut, parts, stored
 from . import observe, walk
 
 #: Products a page and rows of tables a page, as the feature's bounds.
@@ -38,7 +38,9 @@ def page_observations(captured: DataFrame, company: str, most: int = observe.MOS
     in the page, places of facts those in the row's text; values of structured data have a script and a path as their locator. Confidence is lowered by the
     source's reliability, which is a price's own. Of facts with one identifier the surest stays, the first of equals; ``most`` a page, as the feature's bound. A null page has none.
     """
-    rows = cut(markup.cuts(captured.select("id", "html")))
+    # few bytes may become many rows: pages are dealt by number, and tables as long as theirs are never sent whole
+    dealt = captured.repartition(parts(captured.sparkSession), "id")
+    rows = stored(markup.cuts(dealt.select("id", "html")))
     none = F.lit(None).cast("string")
     rank = lambda *n: F.struct(*(x.cast("int").alias(f"r{i}") for i, x in enumerate(n)))
 
@@ -54,9 +56,9 @@ def page_observations(captured: DataFrame, company: str, most: int = observe.MOS
     heads = markup.headings(rows)
     is_title = o("field") == "document.title"
     found = made(heads, o("field"), clean_text("text"), "meta", F.when(is_title, 0.85).otherwise(0.88), rank(F.when(is_title, 0).otherwise(1), zero, zero, zero, zero), start="start", stop="stop")
-    described = captured.select("id", pages.meta(o("html"), "description", "og:description").alias("v"))
+    described = dealt.select("id", pages.meta(o("html"), "description", "og:description").alias("v"))
     found = found.union(made(described, F.lit("document.description"), markup.decoded(o("v")), "meta", 0.80, rank(F.lit(2), zero, zero, zero, zero)))
-    products = walk.product_facts(captured, company)
+    products = walk.product_facts(dealt, company)
     nth = F.row_number().over(Window.partitionBy("id").orderBy("script", "place"))
     products = cut(products.withColumn("nth", nth).where(o("nth") <= PRODUCTS))
     at = F.concat(F.lit("JSON-LD script "), o("script") + 1, F.lit(" "), o("path"))
@@ -64,19 +66,19 @@ def page_observations(captured: DataFrame, company: str, most: int = observe.MOS
         found = found.union(made(products, F.lit(f"product.{name}"), o(name), "json_ld", 0.95, rank(F.lit(3), o("nth"), F.lit(k), zero, zero), locator=at))
     priced = products.where("price is not null")
     found = found.union(made(priced, F.lit("commercial.price"), number_text(o("price")), "json_ld", F.lit(None).cast("double"), rank(F.lit(3), o("nth"), F.lit(2), zero, zero), unit=o("currency"), locator=F.concat(at, F.lit(" offers"))))
-    listed = cut(table_rows(rows))
+    listed = stored(table_rows(rows))
     of_row = F.concat(F.lit("HTML table row "), o("row"))
     found = found.union(made(listed, F.lit("table.row"), o("text"), "table", 0.82, rank(F.lit(4), o("row"), F.lit(-1), zero, zero), locator=of_row, start="start", stop="stop", excerpt=F.substring("text", 1, 1000)))
     kind = captured.schema["id"].dataType.simpleString()
     texts = listed.select(F.concat(o("id").cast("string"), F.lit(_KEY), o("row")).alias("id"), "text")
-    told = observe.named(texts).unionByName(observe.facts(texts).drop("text")).join(texts, "id")
+    told = observe.named(texts).unionByName(observe.facts(texts).drop("text")).join(texts.hint("merge"), "id")
     row = F.substring_index("id", _KEY, -1)
     seen = F.coalesce(F.nullif(context("text", o("start"), o("stop")), F.lit("")), none)
     found = found.union(told.select(
         F.substring_index("id", _KEY, 1).cast(kind).alias("id"), "field", "value", "unit", "material", "method", F.concat(F.lit("HTML table row "), row).alias("locator"), "start", "stop", seen.alias("excerpt"), "confidence",
         F.substring(seen, 1, 250).alias("within"), rank(F.lit(4), row, o("pass"), o("start"), -o("stop")).alias("order"),
     ))
-    known = found.where("coalesce(value, '') != ''").join(captured.select("id", "reliability"), "id")
+    known = found.where("coalesce(value, '') != ''").join(captured.select("id", "reliability").hint("merge"), "id")
     sure = F.when(o("confidence").isNull(), o("reliability")).otherwise(F.least(F.lit(1.0), o("confidence") * o("reliability") / 0.95))
     source = o("id").cast("string")
     named = F.when(o("within").isNull(), stable_id("obs", source, "field", "value")).otherwise(stable_id("obs", source, "field", "value", "within"))

@@ -1,6 +1,6 @@
 """Steps whose tables grow with the input: nothing as long as the input is sent whole, candidates are not dealt anew, small files are worked on by many tasks."""
 
-from evidentia.operators import configure
+from evidentia.operators import configure, page_facts
 from evidentia.sources import dims
 from evidentia.sources.views import view
 
@@ -16,3 +16,8 @@ def test_candidates_stay_in_their_products_row(spark):
     made = planned(configure.generate(products, layers, variants, dims.materials(spark)))
     after, of_candidates, _ = made.partition("Generate inline")
     assert of_candidates and "Exchange" not in after and "Sort" not in after
+
+
+def test_pages_are_not_sent_whole(spark):
+    made = planned(page_facts.page_observations(view(spark, SF, "v_spec_pages"), "Acme"))
+    assert "Broadcast" not in made
