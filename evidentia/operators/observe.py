@@ -9,6 +9,7 @@ from ..functions import units
 from ..functions.pages import looks_relevant, name_hint
 from ..functions.text import clean_text, context, is_specific_name, stable_id
 from ..functions.urls import source_kind
+from ..sources.work import parts
 from .mentions import mentions
 
 MOST = 2000
@@ -73,7 +74,9 @@ def observations(texts: DataFrame, most: int = MOST) -> DataFrame:
     Materials named come first, then the passes of ``facts``; confidence is lowered by the source's reliability. Of facts with one
     identifier the surest stays, the first of equals; ``most`` a text, in that order, as the feature's bound.
     """
-    known = texts.select("id", "reliability", F.col("text").alias("whole"))
+    # a small file may hold many texts: they are dealt by number, and not sent whole
+    texts = texts.repartition(parts(texts.sparkSession), "id")
+    known = texts.select("id", "reliability", F.col("text").alias("whole")).hint("merge")
     every = named(texts).unionByName(facts(texts.select("id", "text")).drop("text")).join(known, "id")
     sure = F.least(F.lit(1.0), F.col("confidence") * F.col("reliability") / 0.95)
     words = context("whole", F.col("start"), F.col("stop"))

@@ -1,6 +1,8 @@
 """Steps whose tables grow with the input: nothing as long as the input is sent whole, candidates are not dealt anew, small files are worked on by many tasks."""
 
-from evidentia.operators import configure, page_facts
+from pyspark.sql import functions as F
+
+from evidentia.operators import configure, observe, page_facts
 from evidentia.sources import dims
 from evidentia.sources.views import view
 
@@ -21,3 +23,10 @@ def test_candidates_stay_in_their_products_row(spark):
 def test_pages_are_not_sent_whole(spark):
     made = planned(page_facts.page_observations(view(spark, SF, "v_spec_pages"), "Acme"))
     assert "Broadcast" not in made
+
+
+def test_texts_are_dealt_and_not_sent_whole(spark):
+    texts = view(spark, SF, "v_spec_text").withColumn("reliability", F.lit(0.95))
+    made = planned(observe.observations(texts))
+    before = made[made.index("MapInPandas") :]
+    assert "Broadcast" not in made and "REPARTITION_BY_NUM" in before
