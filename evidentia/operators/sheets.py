@@ -28,12 +28,12 @@ def whole(products: DataFrame) -> DataFrame:
     return products.withColumns({c: F.lit(None).cast(t) for c, t in PRODUCT.items() if c not in products.columns})
 
 
-def in_order(rows: DataFrame, keys: list[str], by: str, **texts: tuple[str, str]) -> DataFrame:
-    """One row a key: each named column's values in order, joined; null and empty ones are left out. ``texts``: result = (column, separator)."""
+def in_order(rows: DataFrame, keys: list[str], by: str, *more: Column, **texts: tuple[str, str]) -> DataFrame:
+    """One row a key: each named column's values in order, joined; null and empty ones are left out. ``texts``: result = (column, separator); ``more``: aggregates beside them."""
     columns = list(dict.fromkeys(c for c, _ in texts.values()))
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *columns))).alias("__all"))
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *columns))).alias("__all"), *more)
     shown = lambda c, sep: F.array_join(F.filter(F.transform("__all", lambda x: x[c]), lambda v: v.isNotNull() & (v != "")), sep)
-    return held.select(*keys, *(shown(c, sep).alias(n) for n, (c, sep) in texts.items()))
+    return held.withColumns({n: shown(c, sep) for n, (c, sep) in texts.items()}).drop("__all")
 
 
 def product_sheet(products: DataFrame, layers: DataFrame, variants: DataFrame, sources: DataFrame) -> DataFrame:
@@ -80,14 +80,15 @@ def claim_sheet(products: DataFrame, layers: DataFrame, evidence: DataFrame, sou
     of_layer = F.array(
         fact(path(".thickness_mm"), number("thickness_mm"), text, F.lit("mm"), F.col("thickness_status")), fact(path(".density_kg_m3"), number("density"), text, F.lit("kg/m3"), F.col("density_status")),
     )
-    stated = lambda facts: F.explode(F.filter(facts, lambda x: x["value_double"].isNotNull() | x["value_string"].isNotNull()))
+    # filtered after they are exploded: a lambda over each row's array would be interpreted
+    stated = "f.value_double is not null or f.value_string is not null"
     full = whole(products)
     own = in_order(sources, ["product_id"], "ordinal", source_ids=("source_id", ", "))
-    upper = full.join(own, "product_id", "left").select("product_id", stated(of_product).alias("f"), "confidence", F.col("extraction_method").alias("method"), "source_ids")
-    surest = evidence.groupBy("product_id", "position").agg(F.max("reliability").alias("confidence"))
-    seen_in = in_order(evidence, ["product_id", "position"], "ordinal", source_ids=("source_id", ", "))
-    held = layers.join(full.select("product_id", F.col("extraction_method").alias("method")), "product_id").join(surest.join(seen_in, ["product_id", "position"]), ["product_id", "position"], "left")
-    lower = held.select("product_id", stated(of_layer).alias("f"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), "method", "source_ids")
+    upper = full.join(own, "product_id", "left").select("product_id", F.explode(of_product).alias("f"), "confidence", F.col("extraction_method").alias("method"), "source_ids").where(stated)
+    # evidence is aggregated once
+    seen_in = in_order(evidence, ["product_id", "position"], "ordinal", F.max("reliability").alias("confidence"), source_ids=("source_id", ", "))
+    held = layers.join(full.select("product_id", F.col("extraction_method").alias("method")).hint("merge"), "product_id").join(seen_in.hint("merge"), ["product_id", "position"], "left")
+    lower = held.select("product_id", F.explode(of_layer).alias("f"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), "method", "source_ids").where(stated)
     return upper.unionByName(lower).select("product_id", "f.*", "confidence", "method", F.coalesce("source_ids", F.lit("")).alias("source_ids"))
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import configure, observe, page_facts
+from evidentia.operators import configure, observe, page_facts, sheets
+from evidentia.plans.sheets import _frames
 from evidentia.sources import dims
 from evidentia.sources.views import view
 
@@ -30,3 +31,9 @@ def test_texts_are_dealt_and_not_sent_whole(spark):
     made = planned(observe.observations(texts))
     before = made[made.index("MapInPandas") :]
     assert "Broadcast" not in made and "REPARTITION_BY_NUM" in before
+
+
+def test_claims_read_evidence_once(spark):
+    made = planned(sheets.claim_sheet(*_frames(spark, SF, "products", "layers", "evidence", "sources")))
+    held = [x for x in made.splitlines() if "max(reliability" in x and "keys=" in x]
+    assert held and all("collect_list" in x for x in held)
