@@ -11,7 +11,12 @@ from ..functions.text import normalized_name, stable_id
 def _edges(rows: DataFrame, source: Column | str, relation: str, target: Column | str, **properties: Column) -> DataFrame:
     text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
     pairs = [x for k, v in properties.items() for x in (F.lit(k), v.cast("string"))]
-    held = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string, string>")
+    none = F.create_map().cast("map<string, string>")
+    if len(properties) == 1:
+        # without a lambda, which would be interpreted row by row
+        held = F.when(pairs[1].isNotNull(), F.create_map(*pairs)).otherwise(none)
+    else:
+        held = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else none
     return rows.select(text(source).alias("source"), F.lit(relation).alias("relation"), text(target).alias("target"), held.alias("properties")).where("source is not null and target is not null")
 
 
@@ -63,5 +68,6 @@ def graph(frames: dict[str, DataFrame]) -> DataFrame:
         f = f.withColumn("__order", F.lit(i))
         every = f if every is None else every.unionByName(f)
     named = every.withColumn("edge_id", stable_id("edg", "source", "relation", "target"))
-    last = Window.partitionBy("edge_id").orderBy(F.desc("__order"), F.desc(F.to_json("properties")))
+    held = F.when(F.size("properties") == 0, "{}").otherwise(F.to_json("properties"))
+    last = Window.partitionBy("edge_id").orderBy(F.desc("__order"), F.desc(held))
     return named.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("edge_id", "source", "relation", "target", "properties")

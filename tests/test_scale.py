@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import configure, observe, page_facts, sheets
+from evidentia.operators import configure, knowledge, observe, page_facts, sheets
 from evidentia.plans.sheets import _frames
 from evidentia.sources import dims
 from evidentia.sources.views import view
@@ -33,6 +33,13 @@ def test_texts_are_dealt_and_not_sent_whole(spark):
     assert "Broadcast" not in made and "REPARTITION_BY_NUM" in before
 
 
+def test_one_property_needs_no_lambda(spark):
+    assets = spark.createDataFrame([("a1", "s1", "image"), ("a2", "s1", None)], "asset_id string, source_id string, kind string")
+    found = knowledge.graph({"assets": assets})
+    assert {r.target: r.properties for r in found.collect()} == {"a1": {"kind": "image"}, "a2": {}}
+    assert "lambda" not in planned(found)
+
+
 def test_claims_read_evidence_once(spark):
     made = planned(sheets.claim_sheet(*_frames(spark, SF, "products", "layers", "evidence", "sources")))
     held = [x for x in made.splitlines() if "max(reliability" in x and "keys=" in x]
