@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import configure
+from evidentia.operators import configure, thermal
 from evidentia.operators.listed import listed
 from evidentia.sources import dims
 
@@ -20,3 +20,6 @@ def test_narrow_candidates_equal_wide_ones(spark):
         wide, narrow = configure.wide(plan, **most), listed(plan, **most)
         want, got = (sorted(map(repr, x.select("product_id", "place", "solution", "enumerated", "taken", "picked", kg).collect())) for x in (wide, narrow))
         assert got == want and len(got) > 100
+    same = [F.round(c, 6).alias(c) for c in ("resistance", "heat_capacity", "final_c", "comfort_minutes", "peak_c")]
+    want, got = (sorted(map(repr, x.select("product_id", "place", *same).collect())) for x in (thermal.screen(wide), thermal.screened(listed(plan, thermal=True, most=3, most_enumerated=700))))
+    assert got == want
